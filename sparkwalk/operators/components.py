@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Observation, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from sparkwalk.operators.skew import skew_join
-from sparkwalk.session import cut
+from sparkwalk.session import counted_cut, discard
 
 
 def symmetric(edges: DataFrame, keys: Sequence[str] = (), extra: Sequence[str] = ()) -> DataFrame:
@@ -23,17 +23,12 @@ def symmetric(edges: DataFrame, keys: Sequence[str] = (), extra: Sequence[str] =
     return edges.select(*keys, *extra, F.inline(ends))
 
 
-def counted_cut(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
-    """``cut`` that also returns aggregates taken while the rows are written."""
-    seen = Observation()
-    aggs = [e.alias(n) for n, e in (metrics or {"n": F.count(F.lit(1))}).items()]
-    out = cut(df.observe(seen, *aggs))
-    return out, seen.get
+def _choice(vid: str) -> Column:
+    """A node under this round's pseudo-random order (the id breaks equal hashes).
 
-
-def _choice(vid: str, turn: int) -> Column:
-    """A node under this round's pseudo-random order (the id breaks equal hashes)."""
-    return F.struct(F.xxhash64(F.lit(turn), F.col(vid)).alias("h"), F.col(vid).alias("v"))
+    The round number is a column, not a literal, so every round runs the same compiled code.
+    """
+    return F.struct(F.xxhash64("turn", vid).alias("h"), F.col(vid).alias("v"))
 
 
 def connected_components(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -47,15 +42,13 @@ def connected_components(edges: DataFrame, keys: Sequence[str] = ()) -> DataFram
     """
     keys = list(keys)
     arcs, seen = counted_cut(
-        symmetric(edges, keys).distinct()  # a loop keeps its node; copies of a link count once
+        symmetric(edges, keys).distinct().withColumn("turn", F.lit(0))  # a loop keeps its node; copies of a link count once
     )
     arcs_left = seen["n"]
     levels: list[tuple[DataFrame, DataFrame, int]] = []
     low = None  # least original vid of each node of the current level, none at the start
-    turn = 0
     while arcs_left:
-        turn += 1
-        chosen = arcs.groupBy(*keys, "u").agg(F.least(_choice("u", turn), F.min(_choice("w", turn))).alias("c"))
+        chosen = arcs.groupBy(*keys, "turn", "u").agg(F.min(F.least(_choice("u"), _choice("w"))).alias("c"))
         step = chosen.select(*keys, "u", F.col("c.v").alias("rep"))
         for _ in range(2):  # follow the choices of the choices: fewer, larger clusters
             hop = step.select(*keys, F.col("u").alias("rep"), F.col("rep").alias("_far"))
@@ -68,19 +61,21 @@ def connected_components(edges: DataFrame, keys: Sequence[str] = ()) -> DataFram
         nodes_left = seen["n"]
         low = step.groupBy(*keys, "rep").agg(F.min("low").alias("low"))
         levels.append((step, low, nodes_left))
+        before = arcs
         to = step.select(*keys, "u", "rep")
         arcs, seen = counted_cut(
             skew_join(
-                skew_join(arcs, to, [*keys, "u"], rows=arcs_left).select(*keys, F.col("rep").alias("u"), "w"),
+                skew_join(arcs, to, [*keys, "u"], rows=arcs_left).select(*keys, "turn", F.col("rep").alias("u"), "w"),
                 to.withColumnsRenamed({"u": "w", "rep": "_w"}),
                 [*keys, "w"],
                 rows=arcs_left,
             )
-            .select(*keys, "u", F.col("_w").alias("w"))
+            .select(*keys, (F.col("turn") + 1).alias("turn"), "u", F.col("_w").alias("w"))
             .filter(F.col("u") != F.col("w"))
             .distinct()
         )
         arcs_left = seen["n"]
+        discard(before)
     labels = None
     for step, low, n in reversed(levels):
         top = low if labels is None else low.join(

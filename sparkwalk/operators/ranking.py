@@ -24,6 +24,7 @@ def running(
     order_by: Sequence[Column | str],
     sums: dict[str, Column | str] | None = None,
     rank: str | None = None,
+    keep_range: bool = False,
 ) -> DataFrame:
     """Add running totals (``sums``: new name -> expression) and a 1-based ``rank``.
 
@@ -44,7 +45,8 @@ def running(
     for n, e in exprs.items():
         out = out.withColumn(f"_i_{n}", F.sum(e).over(inside))
     out = out.join(F.broadcast(offsets), "_range")  # one row per partition of `parts`
-    return out.select(*df.columns, *[(F.col(f"_i_{n}") + F.col(f"_o_{n}")).alias(n) for n in exprs])
+    kept = [*df.columns, "_range"] if keep_range else df.columns
+    return out.select(*kept, *[(F.col(f"_i_{n}") + F.col(f"_o_{n}")).alias(n) for n in exprs])
 
 
 def dense_ids(df: DataFrame, name: str, order_by: Sequence[Column | str], start: int = 0) -> DataFrame:
@@ -71,35 +73,32 @@ def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[str]) ->
 
 
 def interpolate_gaps(df: DataFrame, order: str, cols: Sequence[str]) -> DataFrame:
-    """Fill nulls linearly by row position; leading gaps stay null, trailing gaps repeat.
+    """Fill nulls linearly by row position; leading gaps stay null, trailing gaps repeat the last value.
 
-    ``df`` is a result table with one row per step.  Rows are numbered and carried
-    range by range, so that a long table is not sorted in one task.
+    Every range finds the known neighbours of its rows by itself; the last known row before
+    it and the first one after it come from a table with one row per range.
     """
-    out = running(df, [order], rank="_pos")
+    rows = running(df, [order], rank="_pos", keep_range=True)
+    point = {c: F.when(F.col(c).isNotNull(), F.struct(F.col("_pos").alias("p"), F.col(c).cast("double").alias("y"))) for c in cols}
+    ends = rows.groupBy("_range").agg(
+        *[F.max(point[c]).alias(f"_l_{c}") for c in cols], *[F.min(point[c]).alias(f"_f_{c}") for c in cols]
+    )
+    whole = Window.partitionBy(F.lit(0)).orderBy("_range")
+    before, after = whole.rowsBetween(Window.unboundedPreceding, -1), whole.rowsBetween(1, Window.unboundedFollowing)
+    carried = ends.select(
+        "_range",
+        *[F.last(f"_l_{c}", ignorenulls=True).over(before).alias(f"_b_{c}") for c in cols],
+        *[F.first(f"_f_{c}", ignorenulls=True).over(after).alias(f"_a_{c}") for c in cols],
+    )
+    inside = Window.partitionBy("_range").orderBy("_pos")
+    up_to, onward = inside.rowsBetween(Window.unboundedPreceding, 0), inside.rowsBetween(0, Window.unboundedFollowing)
+    out = rows.join(F.broadcast(carried), "_range")  # one row per partition
+    for c in cols:
+        out = out.withColumn(f"_b_{c}", F.coalesce(F.last(point[c], ignorenulls=True).over(up_to), f"_b_{c}"))
+        out = out.withColumn(f"_a_{c}", F.coalesce(F.first(point[c], ignorenulls=True).over(onward), f"_a_{c}"))
+    filled = {}
     for c in cols:
-        known = out.filter(F.col(c).isNotNull()).select(F.col("_pos").alias("_a"), F.col(c).cast("double").alias("_ya"))
-        ranked = running(known, ["_a"], rank="_k")
-        nxt = ranked.select((F.col("_k") - 1).alias("_k"), F.col("_a").alias("_b"), F.col("_ya").alias("_yb"))
-        # one row per gap: [_a, _b) with the values at both ends, the last gap open
-        spans = ranked.join(nxt, "_k", "left").select("_a", "_b", "_ya", "_yb")
-        filled = spans.select(
-            F.explode(F.sequence(F.col("_a"), F.coalesce(F.col("_b") - 1, F.col("_a")))).alias("_pos"),
-            "_a", "_b", "_ya", "_yb",
-        ).select(
-            "_pos",
-            F.when(F.col("_b").isNull() | (F.col("_pos") == F.col("_a")), F.col("_ya"))
-            .otherwise(
-                F.col("_ya")
-                + (F.col("_yb") - F.col("_ya")) * (F.col("_pos") - F.col("_a")) / (F.col("_b") - F.col("_a"))
-            )
-            .alias("_y"),
-        )
-        last = known.agg(F.max("_a").alias("_la"), F.max_by("_ya", "_a").alias("_ly"))
-        out = (
-            out.join(filled, "_pos", "left")
-            .join(F.broadcast(last), F.col("_pos") > F.col("_la"), "left")  # a single row
-            .withColumn(c, F.coalesce(F.col("_y"), F.col("_ly")))
-            .drop("_y", "_la", "_ly")
-        )
-    return out.drop("_pos").select(*df.columns)
+        b, a = F.col(f"_b_{c}"), F.col(f"_a_{c}")
+        slope = (a.y - b.y) / (a.p - b.p)
+        filled[c] = F.when(a.isNull() | (a.p == b.p), b.y).otherwise(b.y + slope * (F.col("_pos") - b.p))
+    return out.select(*[filled[c].alias(c) if c in filled else F.col(c) for c in df.columns])

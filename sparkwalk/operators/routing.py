@@ -10,9 +10,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sparkwalk.operators.components import connected_components, counted_cut, pair_components, symmetric
+from sparkwalk.operators.components import pair_components, symmetric
 from sparkwalk.operators.skew import HOT_ROWS, MAX_HOT
-from sparkwalk.session import cut
+from sparkwalk.session import counted_cut, cut, discard
 
 FAR = 1 << 60  # longer than any route
 
@@ -126,11 +126,14 @@ def distances(
     )
     state, seen = counted_cut(state, fresh=F.count_if("fresh"))
     net = _Arcs(shortcuts(arcs, keys, carry, doublings), keys)
+
+    def reach() -> DataFrame:
+        """Per origin the farthest of its destinations, as far as known by now."""
+        length = F.when(F.col("open"), far).otherwise(F.col("dist"))
+        return state.filter("is_target or open").groupBy(*who).agg(F.max(length).alias("_reach"))
+
     while seen["fresh"]:
-        reach = state.filter("is_target or open").groupBy(*who).agg(
-            F.max(F.when(F.col("open"), far).otherwise(F.col("dist"))).alias("_reach")
-        )
-        front = state.filter("fresh").select(*who, "v", "dist").join(reach, who).filter("dist < _reach")
+        front = state.filter("fresh").select(*who, "v", "dist").join(reach(), who).filter("dist < _reach")
         ahead = net.follow(front)
         if usable is not None:
             ahead = ahead.filter(usable)
@@ -142,11 +145,14 @@ def distances(
             .groupBy(*who, "v")
             .agg(F.min("dist").alias("dist"), F.min("old").alias("old"), F.max("is_target").alias("is_target"), F.max("open").alias("open"))
         )
+        before = state
         state, seen = counted_cut(
             merged.select(*who, "v", "dist", "is_target", "open", (F.col("dist") < F.coalesce("old", far)).alias("fresh")),
             fresh=F.count_if("fresh"),
         )
-    return state.select(*who, "v", "dist", "is_target").filter(F.col("dist") < FAR)
+        discard(before)
+    found = state.filter(F.col("dist") < FAR).select(*who, "v", "dist", "is_target")
+    return found.join(reach(), who).filter("dist <= _reach").drop("_reach")
 
 
 def routable_pairs(od: DataFrame, nodes: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

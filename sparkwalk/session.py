@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 # Recommended settings of a session that runs these jobs.  The master, memory and
 # shuffle-partition count belong to the cluster, so they are not set here.
@@ -14,8 +15,6 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
-    # iterative jobs checkpoint once per round; let Spark drop the files of dead rounds
-    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -34,24 +33,47 @@ def local_session(cpus: int | str = 8, app: str = "sparkwalk", memory: str = "12
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named in ``spark.checkpoint.dir``.
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder named in ``spark.checkpoint.dir``.
 
     Only a local session may fall back to a temporary folder: on a cluster a
     machine-local folder would be lost together with the executor.
     """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
-        if not sc.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="sparkwalk-checkpoint-")
-    sc.setCheckpointDir(folder)
+        spark.sparkContext.setCheckpointDir(folder)
+        folder = spark.sparkContext.getCheckpointDir()
+    return folder
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once, store it reliably and forget its lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Compute ``df`` once, store it in the shared folder and forget its lineage.
+
+    A written table, not an RDD checkpoint: it is columnar and compressed, later reads
+    take only the columns they need, and the planner sees its true size.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def counted_cut(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
+    """``cut`` that also returns aggregates (by default the row count ``n``) taken while writing."""
+    seen = Observation()
+    aggs = [e.alias(n) for n, e in (metrics or {"n": F.count(F.lit(1))}).items()]
+    return cut(df.observe(seen, *aggs)), seen.get
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the stored table of an earlier round, once nothing reads it any more."""
+    path = getattr(df, "_stored_at", None)
+    if path is not None:
+        sc = df.sparkSession.sparkContext
+        where = sc._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
