@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sparkwalk.operators.skew import skew_join
-from sparkwalk.session import counted_cut, discard
+from sparkwalk.session import counted_cut, discard, known_rows
 
 
 def symmetric(edges: DataFrame, keys: Sequence[str] = (), extra: Sequence[str] = ()) -> DataFrame:
@@ -105,7 +105,11 @@ def pair_components(pairs: DataFrame, nodes: DataFrame, keys: Sequence[str] = ()
     origin = nodes.select(*keys, F.col("vid").alias("vid_o"), F.col("cid").alias("cid_o"))
     dest = nodes.select(*keys, F.col("vid").alias("vid_d"), F.col("cid").alias("cid_d"))
     on_o = ["vid_o"] + [k for k in keys if k in pairs.columns]
-    return skew_join(skew_join(pairs, origin, on_o), dest, [*keys, "vid_d"])
+    rows = known_rows(pairs)
+    with_origin = skew_join(pairs, origin, on_o)
+    if rows is not None and "vid_o" in on_o and len(on_o) == 1 and keys:
+        rows = None  # each pair may now stand under several keys
+    return skew_join(with_origin, dest, [*keys, "vid_d"], rows=rows)
 
 
 def connected_trips(pairs: DataFrame, nodes: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

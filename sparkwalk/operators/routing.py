@@ -158,7 +158,7 @@ def distances(
 def routable_pairs(od: DataFrame, nodes: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Trips summed per vertex pair, for pairs in one component of the (variant's) network."""
     shared = [k for k in keys if k in od.columns]
-    pairs = od.groupBy(*shared, "vid_o", "vid_d").agg(F.sum("n_ods").alias("n_ods"))
+    pairs = cut(od.groupBy(*shared, "vid_o", "vid_d").agg(F.sum("n_ods").alias("n_ods")))
     return pair_components(pairs, nodes, keys).filter("cid_o = cid_d").select(*keys, "vid_o", "vid_d", "n_ods")
 
 

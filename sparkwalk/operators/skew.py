@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from sparkwalk.session import known_rows
+
 # A key is hot once it holds more rows than one task should take.
 HOT_ROWS = 1_000_000
 # At most this many keys are ever salted, so the table of hot keys may be broadcast.
@@ -40,9 +42,10 @@ def skew_join(
     salt, so the result equals the plain join for ``inner``, ``left`` and ``left_semi`` /
     ``left_anti``.  ``where`` is an extra condition over the columns of both sides,
     which share no names other than ``on``.  ``rows`` is the row count of ``big`` where the
-    caller knows it: no key of a table that small can be hot, so the measuring is skipped.
+    caller knows it (stored tables know it by themselves): no key of a table that small can be hot, so the measuring is skipped.
     """
     on = list(on)
+    rows = known_rows(big) if rows is None else rows
     if rows is not None and rows <= hot_rows:
         if where is None:
             return big.join(small, on, how)

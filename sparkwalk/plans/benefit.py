@@ -68,9 +68,9 @@ def first_connected_step(pairs: DataFrame, edges: DataFrame, last: int) -> DataF
         late = skew_join(
             skew_join(
                 links.filter(~early).select("src_vid", "trg_vid", "step", "lo", middle.alias("_mid"), "hi"),
-                at_a.withColumnRenamed("a", "src_vid"), ["lo", "src_vid"], "left",
+                at_a.withColumnRenamed("a", "src_vid"), ["lo", "src_vid"], "left", rows=links._rows,
             ),
-            at_b.withColumnRenamed("b", "trg_vid"), ["lo", "trg_vid"], "left",
+            at_b.withColumnRenamed("b", "trg_vid"), ["lo", "trg_vid"], "left", rows=links._rows,
         ).select(
             F.coalesce("ca", "src_vid").alias("src_vid"), F.coalesce("cb", "trg_vid").alias("trg_vid"), "step", F.col("_mid").alias("lo"), "hi"
         )

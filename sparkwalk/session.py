@@ -49,25 +49,31 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
-def cut(df: DataFrame) -> DataFrame:
+def counted_cut(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
     """Compute ``df`` once, store it in the shared folder and forget its lineage.
 
     A written table, not an RDD checkpoint: it is columnar and compressed, later reads
-    take only the columns they need, and the planner sees its true size.
+    take only the columns they need, and the planner sees its true size.  Also returns the
+    row count ``n`` and the given aggregates, taken while the rows are written.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    seen = Observation()
+    aggs = {"n": F.count(F.lit(1))} | metrics
+    df.observe(seen, *[e.alias(n) for n, e in aggs.items()]).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
-    return out
+    out._rows = seen.get["n"]
+    return out, seen.get
 
 
-def counted_cut(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
-    """``cut`` that also returns aggregates (by default the row count ``n``) taken while writing."""
-    seen = Observation()
-    aggs = [e.alias(n) for n, e in (metrics or {"n": F.count(F.lit(1))}).items()]
-    return cut(df.observe(seen, *aggs)), seen.get
+def cut(df: DataFrame) -> DataFrame:
+    return counted_cut(df)[0]
+
+
+def known_rows(df: DataFrame) -> int | None:
+    """The row count of a stored table, as far as this very DataFrame knows it."""
+    return getattr(df, "_rows", None)
 
 
 def discard(df: DataFrame) -> None:
