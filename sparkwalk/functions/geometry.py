@@ -23,6 +23,10 @@ def line(*points: Column) -> Column:
     return F.array(*points)
 
 
+def norm(dx: Column, dy: Column) -> Column:
+    return F.sqrt(dx * dx + dy * dy)
+
+
 def first_point(shape: Column) -> Column:
     return F.element_at(shape, 1)
 
@@ -69,7 +73,7 @@ def explode_segments(df: DataFrame, shape: str) -> DataFrame:
 
 def length(shape: Column) -> Column:
     return F.aggregate(
-        segments(shape), F.lit(0.0), lambda acc, s: acc + F.hypot(s["x2"] - s["x1"], s["y2"] - s["y1"])
+        segments(shape), F.lit(0.0), lambda acc, s: acc + norm(s["x2"] - s["x1"], s["y2"] - s["y1"])
     )
 
 
@@ -79,7 +83,7 @@ def segment_distance(px: Column, py: Column, x1: Column, y1: Column, x2: Column,
     size = dx * dx + dy * dy
     along = ((px - x1) * dx + (py - y1) * dy) / F.when(size > 0, size)
     t = F.coalesce(F.least(F.greatest(along, F.lit(0.0)), F.lit(1.0)), F.lit(0.0))
-    return F.hypot(px - (x1 + t * dx), py - (y1 + t * dy))
+    return norm(px - (x1 + t * dx), py - (y1 + t * dy))
 
 
 def line_distance(p: Column, shape: Column) -> Column:
@@ -198,7 +202,7 @@ def point_along(shape: Column, distance: Column) -> Column:
     )
 
     def walk(acc: Column, s: Column) -> Column:
-        size = F.hypot(s["x2"] - s["x1"], s["y2"] - s["y1"])
+        size = norm(s["x2"] - s["x1"], s["y2"] - s["y1"])
         t = F.least(acc["left"] / F.when(size > 0, size), F.lit(1.0))
         moved = F.struct(
             F.greatest(acc["left"] - size, F.lit(0.0)).alias("left"),

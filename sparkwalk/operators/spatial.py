@@ -119,7 +119,7 @@ def pieces_near_points(pieces: DataFrame, points: DataFrame, radius: float, x: s
 
 def points_near_points(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
     """Pairs of points at most ``radius`` apart; left columns x, y and right columns px, py."""
-    near = F.hypot(F.col("x") - F.col("px"), F.col("y") - F.col("py")) <= radius
+    near = G.norm(F.col("x") - F.col("px"), F.col("y") - F.col("py")) <= radius
     return box_join(with_box(left, point_box("x", "y")), with_box(right, point_box("px", "py"), radius), near, max(radius, 1e-9) * 2)
 
 

@@ -135,7 +135,7 @@ def _crossing_pairs(sided: DataFrame, group: list[str], radius: float) -> DataFr
     differ = (F.col("sw_pt_id") != F.col("sw_pt_b")) & (
         (F.col("sw1") != F.col("sb1")) | F.col("sw2").isNotNull() | F.col("sb2").isNotNull()
     )
-    near = F.hypot(F.col("x") - F.col("bx"), F.col("y") - F.col("by")) <= radius
+    near = G.norm(F.col("x") - F.col("bx"), F.col("y") - F.col("by")) <= radius
     pairs = spatial.box_join(
         spatial.with_box(a, spatial.point_box("x", "y")),
         spatial.with_box(b, spatial.point_box("bx", "by"), radius),
@@ -157,7 +157,7 @@ def _shortest(segments: DataFrame) -> DataFrame:
         )
     )
     row = F.struct(
-        F.hypot(f.p.x - t.p.x, f.p.y - t.p.y).alias("len"), f.p.alias("src"), t.p.alias("trg"),
+        G.norm(f.p.x - t.p.x, f.p.y - t.p.y).alias("len"), f.p.alias("src"), t.p.alias("trg"),
         f.pt.alias("sw_pt_id_x"), t.pt.alias("sw_pt_id_y"), ids.sx.alias("sw_id_x"), ids.sy.alias("sw_id_y"),
     )
     return segments.groupBy("ixn_id", "road_id").agg(F.min(row).alias("r")).select("ixn_id", "road_id", "r.*")

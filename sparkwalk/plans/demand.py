@@ -239,7 +239,7 @@ class TripSampler:
 
     def _distance(self) -> Column:
         if self.metric == "planar":
-            return F.hypot(F.col("x") - F.col("dx"), F.col("y") - F.col("dy"))
+            return G.norm(F.col("x") - F.col("dx"), F.col("y") - F.col("dy"))
         return haversine_m(F.col("y"), F.col("x"), F.col("dy"), F.col("dx"))
 
 
