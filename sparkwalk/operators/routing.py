@@ -113,15 +113,18 @@ def distances(
     who = [*keys, *scenario, "o"]
     far = F.lit(FAR).cast("bigint")
     upper = F.coalesce(F.col("upper"), far) if "upper" in pairs.columns else far
-    origin = pairs.select(*keys, *scenario, F.col("vid_o").alias("o"), F.col("vid_o").alias("v"))
-    open_end = origin.join(pairs.filter("vid_d is null").select(*keys, *scenario, F.col("vid_o").alias("o")).distinct(), who, "left_semi")
-    target = pairs.filter("vid_d is not null").select(*keys, *scenario, F.col("vid_o").alias("o"), F.col("vid_d").alias("v"), upper.alias("dist"))
+    # ``upper`` of a row bounds the search of its origin; it is no distance of the row itself
+    plain = {"is_target": F.lit(False), "open": F.lit(False), "upper": far}
+    start = pairs.select(*keys, *scenario, F.col("vid_o").alias("o"), F.col("vid_o").alias("v"), F.col("vid_d").isNull().alias("open"))
+    target = pairs.filter("vid_d is not null").select(
+        *keys, *scenario, F.col("vid_o").alias("o"), F.col("vid_d").alias("v"), upper.alias("upper")
+    )
+    merge = [F.max("is_target").alias("is_target"), F.max("open").alias("open"), F.min("upper").alias("upper")]
     state = (
-        origin.withColumns({"dist": F.lit(0).cast("bigint"), "is_target": F.lit(False), "open": F.lit(False)})
-        .unionByName(open_end.withColumns({"dist": F.lit(0).cast("bigint"), "is_target": F.lit(False), "open": F.lit(True)}))
-        .unionByName(target.withColumns({"is_target": F.lit(True), "open": F.lit(False)}))
+        start.withColumns({"dist": F.lit(0).cast("bigint"), "is_target": F.lit(False), "upper": far})
+        .unionByName(target.withColumns({"dist": far, "is_target": F.lit(True), "open": F.lit(False)}))
         .groupBy(*who, "v")
-        .agg(F.min("dist").alias("dist"), F.max("is_target").alias("is_target"), F.max("open").alias("open"))
+        .agg(F.min("dist").alias("dist"), *merge)
         .withColumn("fresh", F.col("dist") == 0)
     )
     state, seen = counted_cut(state, fresh=F.count_if("fresh"))
@@ -129,7 +132,7 @@ def distances(
 
     def reach() -> DataFrame:
         """Per origin the farthest of its destinations, as far as known by now."""
-        length = F.when(F.col("open"), far).otherwise(F.col("dist"))
+        length = F.when(F.col("open"), far).otherwise(F.least("dist", "upper"))
         return state.filter("is_target or open").groupBy(*who).agg(F.max(length).alias("_reach"))
 
     while seen["fresh"]:
@@ -140,14 +143,14 @@ def distances(
         ahead = ahead.select(*who, F.col("w").alias("v"), (F.col("dist") + F.col("len")).alias("dist"), "_reach")
         ahead = ahead.filter("dist <= _reach" if cutoff is None else f"dist <= _reach and dist <= {int(cutoff)}")
         merged = (
-            state.select(*who, "v", "dist", F.col("dist").alias("old"), "is_target", "open")
-            .unionByName(ahead.drop("_reach").withColumns({"old": F.lit(None).cast("bigint"), "is_target": F.lit(False), "open": F.lit(False)}))
+            state.select(*who, "v", "dist", F.col("dist").alias("old"), "is_target", "open", "upper")
+            .unionByName(ahead.drop("_reach").withColumns({"old": F.lit(None).cast("bigint"), **plain}))
             .groupBy(*who, "v")
-            .agg(F.min("dist").alias("dist"), F.min("old").alias("old"), F.max("is_target").alias("is_target"), F.max("open").alias("open"))
+            .agg(F.min("dist").alias("dist"), F.min("old").alias("old"), *merge)
         )
         before = state
         state, seen = counted_cut(
-            merged.select(*who, "v", "dist", "is_target", "open", (F.col("dist") < F.coalesce("old", far)).alias("fresh")),
+            merged.select(*who, "v", "dist", "is_target", "open", "upper", (F.col("dist") < F.coalesce("old", far)).alias("fresh")),
             fresh=F.count_if("fresh"),
         )
         discard(before)
