@@ -19,14 +19,14 @@ LAYERS: dict[str, str] = {
     f"road_type string, geometry {LINE}",
     "candidate_crosswalks": "id bigint, ixn_id bigint, road_id int, len double, sw_pt_id_x bigint, sw_pt_id_y bigint, "
     f"sw_id_x int, sw_id_y int, geometry {LINE}",
-    "full_pednet_nodes": "vid int, x double, y double",
-    "full_pednet_edges": "eid int, orig_id int, kind string, `exists` boolean, is_xwalk boolean, len double, src_vid int, "
+    "network_nodes": "vid int, x double, y double",
+    "network_edges": "eid int, orig_id int, kind string, `exists` boolean, is_xwalk boolean, len double, src_vid int, "
     f"trg_vid int, geometry {LINE}",
-    "simple_sidewalk_pednet_edges": "eids array<int>, orig_id int, kind string, is_xwalk boolean, `exists` boolean, "
+    "contracted_edges": "eids array<int>, orig_id int, kind string, is_xwalk boolean, `exists` boolean, "
     f"src_vid int, trg_vid int, len double, geometry {MULTILINE}",
     "osm_buildings": "osmid bigint, element_type string, kind string, x double, y double",
     "osm_pois": "element_type string, osmid bigint, subcategory string, category string, x double, y double",
-    "sg_pois": "placekey string, latitude double, longitude double, naics_code int, top_category string",
+    "pois": "placekey string, latitude double, longitude double, naics_code int, top_category string",
     "land_use": f"lu_code int, category string, dmd_kind string, geometry {POLYGON}",
     "acs": f"geoid string, popu double, geometry {POLYGON}",
     "od_points": "id bigint, origin boolean, base_id string, category string, weight double, source string, x double, y double",

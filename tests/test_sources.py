@@ -9,10 +9,10 @@ from sparkwalk.sources import features, layers
 def test_only_written_partitions_are_replaced(spark, tmp_path):
     row = lambda n: spark.createDataFrame([(n, 1.0, 2.0)], "vid int, x double, y double")
     for city, n in (("Austin, TX", 1), ("City of Toronto", 2), ("Austin, TX", 3)):
-        layers.save_layer(row(n), str(tmp_path), "full_pednet_nodes", city)
-    got = {(r.city, r.vid) for r in layers.load_layer(spark, str(tmp_path), "full_pednet_nodes").collect()}
+        layers.save_layer(row(n), str(tmp_path), "network_nodes", city)
+    got = {(r.city, r.vid) for r in layers.load_layer(spark, str(tmp_path), "network_nodes").collect()}
     assert got == {("austin", 3), ("city_of_toronto", 2)}
-    assert layers.load_layer(spark, str(tmp_path), "full_pednet_nodes", "Austin, TX").count() == 1
+    assert layers.load_layer(spark, str(tmp_path), "network_nodes", "Austin, TX").count() == 1
 
 
 def test_missing_columns_become_nulls(spark, tmp_path):
