@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparkwalk.llm import simhash
-from sparkwalk.llm.common import table
+from sparkwalk.llm import bpe, packing, simhash, urls
+from sparkwalk.llm.common import map_batches, table
+
+URL_RULES = [
+    ("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+]
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,5 +23,56 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_simhash": op1_simhash}
-ORACLE: dict[str, str] = {}
+def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "action string, host string, path string")
+    return urls.judge(table(spark, sf_dir, "pages"), rules)
+
+
+OP3_SQL = """
+with parsed as (
+  select page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from pages),
+split as (
+  select page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path
+  from parsed),
+rules(action, rule_host, rule_path) as (
+  values ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'),
+         ('block', 'com', '/de/')),
+fits as (
+  select page_id, max_by(struct_pack(rule := rule_host || rule_path, action := action), length(rule_host || rule_path)) as best
+  from split join rules
+    on (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, rule_path)
+  group by page_id)
+select page_id, host, path, best.rule as rule, coalesce(best.action, 'allow') as verdict
+from split left join fits using (page_id)
+"""
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    coded = bpe.encode(table(spark, sf_dir, "documents"), path, pattern)
+
+    def digests(batch):
+        vocabulary = bpe.load(path, pattern)[1]
+        words = [str(i) for i in range(len(vocabulary))]
+        rows = [ids.tolist() for ids in (x.values.to_numpy() for x in batch.column("ids"))]
+        return {
+            "doc_id": batch.column("doc_id"),
+            "n_tokens": [len(ids) for ids in rows],
+            "ids_sha256": [hashlib.sha256(" ".join(map(words.__getitem__, ids)).encode()).hexdigest() for ids in rows],
+            "decoded_sha256": [hashlib.sha256(raw).hexdigest() for raw in bpe.decode_ids(rows, vocabulary)],
+        }
+
+    return map_batches(coded, digests, {"doc_id": "long", "n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"})
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = packing.pieces(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+        ranks=public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern=public_tokenizers.PATTERN,
+    )
+    return packing.pack(parts)
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op3_urls": op3_urls, "op7_bpe": op7_bpe, "op9_packing": op9_packing}
+ORACLE: dict[str, str] = {"op3_urls": OP3_SQL}
