@@ -7,8 +7,8 @@ import hashlib
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparkwalk.llm import bpe, packing, simhash, urls
-from sparkwalk.llm.common import map_batches, table
+from sparkwalk.llm import bpe, chat, html, packing, quality, simhash, urls, warc
+from sparkwalk.llm.common import map_batches, once, table
 
 URL_RULES = [
     ("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"),
@@ -23,6 +23,21 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    built = warc.build(warc.responses(table(spark, sf_dir, "pages")))
+
+    def digests(batch):
+        rows = [warc.parse(r) for r in batch.column("record").to_pylist()]
+        out = {c: batch.column(c) for c in ("page_id", "warc_type", "record_id", "refers_to")}
+        out |= {c: [h.get(n) for h, _ in rows] for c, n in (("target_uri", "WARC-Target-URI"), ("warc_date", "WARC-Date"), ("block_digest", "WARC-Block-Digest"))}
+        out["n_bytes"] = [len(b) for _, b in rows]
+        out["record_sha256"] = [hashlib.sha256(r).hexdigest() for r in batch.column("record").to_pylist()]
+        return out
+
+    strings = ("warc_type", "record_id", "refers_to", "target_uri", "warc_date", "block_digest")
+    return map_batches(built, digests, {"page_id": "long"} | {c: "string" for c in strings} | {"n_bytes": "long", "record_sha256": "string"})
+
+
 def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "action string, host string, path string")
     return urls.judge(table(spark, sf_dir, "pages"), rules)
@@ -48,20 +63,29 @@ from split left join fits using (page_id)
 """
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     coded = bpe.encode(table(spark, sf_dir, "documents"), path, pattern)
 
     def digests(batch):
         vocabulary = bpe.load(path, pattern)[1]
-        words = [str(i) for i in range(len(vocabulary))]
-        rows = [ids.tolist() for ids in (x.values.to_numpy() for x in batch.column("ids"))]
-        return {
-            "doc_id": batch.column("doc_id"),
-            "n_tokens": [len(ids) for ids in rows],
-            "ids_sha256": [hashlib.sha256(" ".join(map(words.__getitem__, ids)).encode()).hexdigest() for ids in rows],
-            "decoded_sha256": [hashlib.sha256(raw).hexdigest() for raw in bpe.decode_ids(rows, vocabulary)],
-        }
+        words = once("decimal", lambda: [str(i) for i in range(len(vocabulary))])
+        out = {"doc_id": batch.column("doc_id"), "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
+        for ids in batch.column("ids"):
+            ids = ids.values.to_pylist()
+            out["n_tokens"].append(len(ids))
+            out["ids_sha256"].append(hashlib.sha256(" ".join(map(words.__getitem__, ids)).encode()).hexdigest())
+            out["decoded_sha256"].append(hashlib.sha256(bpe.decode_ids([ids], vocabulary)[0]).hexdigest())
+        return out
 
     return map_batches(coded, digests, {"doc_id": "long", "n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"})
 
@@ -74,5 +98,52 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(parts)
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op3_urls": op3_urls, "op7_bpe": op7_bpe, "op9_packing": op9_packing}
-ORACLE: dict[str, str] = {"op3_urls": OP3_SQL}
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    done = chat.format_trees(chat.chains(rows), top=1)
+    told = F.transform(chat.turns(F.col("formatted")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    loss = chat.learnt(F.col("formatted"), F.col("loss"))
+    return done.select(
+        F.nullif("tree", F.lit("")).cast("long").alias("conv_id"),
+        F.size(told).cast("long").alias("n_turns"),
+        F.sha2(F.array_join(told, ""), 256).alias("turns_sha256"),
+        F.length(loss).cast("long").alias("loss_chars"),
+        F.sha2(loss, 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+OP10_SQL = """
+with given as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all
+  select * from (values (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]'))),
+escaped as (
+  select conv_id, turn, role, text, replace(role || chr(0) || text, '\\', '\\\\') as t from given),
+marked as (
+  select *, replace(replace(replace(replace(replace(replace(t, '<s>', '<\\s>'), '</s>', '<\\/s>'), '[INST]', '[\\INST]'),
+    '[/INST]', '[\\/INST]'), '<<SYS>>', '<\\<SYS>>'), '<</SYS>>', '<\\</SYS>>') as e from escaped),
+whole as (
+  select conv_id, count(*) as n_turns, string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text) as turns,
+         coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '') as loss,
+         sum(length(e) - 1 + length('<s>[INST][/INST]</s>')) as formatted
+  from marked group by conv_id)
+select conv_id, n_turns::bigint as n_turns, sha256(turns) as turns_sha256, length(loss)::bigint as loss_chars,
+       sha256(loss) as loss_sha256, formatted::bigint as formatted_chars
+from whole
+"""
+
+
+QUERIES = {
+    "op1_simhash": op1_simhash,
+    "op2_warc": op2_warc,
+    "op3_urls": op3_urls,
+    "op4_html": op4_html,
+    "op5_quality": op5_quality,
+    "op7_bpe": op7_bpe,
+    "op9_packing": op9_packing,
+    "op10_chat": op10_chat,
+}
+ORACLE: dict[str, str] = {"op3_urls": OP3_SQL, "op10_chat": OP10_SQL}
