@@ -7,7 +7,7 @@ import hashlib
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparkwalk.llm import bpe, chat, html, packing, quality, simhash, urls, warc
+from sparkwalk.llm import bpe, chat, html, iblt, packing, quality, simhash, urls, warc
 from sparkwalk.llm.common import map_batches, once, table
 
 URL_RULES = [
@@ -90,6 +90,10 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return map_batches(coded, digests, {"doc_id": "long", "n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"})
 
 
+def op8_iblt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iblt.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = packing.pieces(
         table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
@@ -143,6 +147,7 @@ QUERIES = {
     "op4_html": op4_html,
     "op5_quality": op5_quality,
     "op7_bpe": op7_bpe,
+    "op8_iblt": op8_iblt,
     "op9_packing": op9_packing,
     "op10_chat": op10_chat,
 }
