@@ -21,7 +21,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from sparkwalk.session import counted_cut, discard
+from sparkwalk.session import counted_cut, cut, discard
 
 OPEN, ROLE_END, CLOSE = "<s>[INST]", "[/INST]", "</s>"
 CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
@@ -55,34 +55,35 @@ def paths(messages: DataFrame) -> DataFrame:
     """(tree, leaf, id, depth): every message on every root-to-leaf path, depth 0 at the root."""
     links = messages.groupBy("tree", "id").agg(F.min("parent").alias("parent"))
     known = links.select("tree", F.col("id").alias("parent"), F.lit(True).alias("_there"))
-    # up: the ancestor `reach` steps above, as far as there is one; depth: how many steps were taken
-    level, seen = counted_cut(
+    # up: the ancestor 2^k steps above, null once the root is passed; depth: how many steps were taken
+    first, seen = counted_cut(
         links.join(known, ["tree", "parent"], "left").select(
             "tree", "id", F.when(F.col("_there"), F.col("parent")).alias("up"), F.when(F.col("_there"), 1).otherwise(0).cast("long").alias("depth")
         ),
         climbing=F.count("up"),
     )
-    first, levels, climbing = level, [level], seen["climbing"]
+    levels, climbing = [first], seen["climbing"]
+    arrived = first.filter("up is null")
     while climbing and 1 << len(levels) < 2 * seen["n"]:  # beyond that only cycles still climb
-        higher = level.select("tree", F.col("id").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_more"))
-        level, now = counted_cut(
-            level.join(higher, ["tree", "up"], "left").select(
-                "tree", "id", F.col("_up").alias("up"), (F.col("depth") + F.coalesce("_more", F.lit(0))).alias("depth")
-            ),
+        below = levels[-1].filter("up is not null")
+        higher = arrived.unionByName(below).select("tree", F.col("id").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_more"))
+        level, now = counted_cut(  # only messages that still climb are joined
+            below.join(higher, ["tree", "up"]).select("tree", "id", F.col("_up").alias("up"), (F.col("depth") + F.col("_more")).alias("depth")),
             climbing=F.count("up"),
         )
         climbing = now["climbing"]
         levels.append(level)
+        arrived = arrived.unionByName(level.filter("up is null"))
     parents = first.filter("up is not null").select("tree", F.col("up").alias("id")).distinct()
-    leaves = level.filter("up is null").join(parents, ["tree", "id"], "left_anti").select("tree", F.col("id").alias("leaf"), "id", "depth")
-    found = leaves
+    leaves = arrived.join(parents, ["tree", "id"], "left_anti").select("tree", F.col("id").alias("leaf"), "id", "depth")
+    found = cut(leaves)
     for k in range(len(levels) - 1, -1, -1):  # each pass adds, to every message found, the one 2^k steps above it
         jump = levels[k].filter("up is not null").select("tree", "id", "up")
         added = found.join(jump, ["tree", "id"]).select("tree", "leaf", F.col("up").alias("id"), (F.col("depth") - (1 << k)).alias("depth"))
-        before, found = found, counted_cut(found.unionByName(added))[0]
+        before, found = found, cut(found.unionByName(added))
         discard(before)
-        if k:
-            discard(levels[k])
+    for level in levels:
+        discard(level)
     return found
 
 
