@@ -32,15 +32,16 @@ def once(name: str, make: Callable):
     return store[name]
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], columns: dict[str, str]) -> DataFrame:
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], columns: dict[str, str], rows: int = 0) -> DataFrame:
     """``fn`` over Arrow batches of the partitions of ``df``; it gives one list or array per column.
 
-    Batches are handed on in slices of at most ``SLICE`` rows, so what ``fn`` makes of them stays small.
+    Batches are handed on in slices of at most ``rows`` (``SLICE``) rows, so what ``fn`` makes of them stays small.
     """
     schema = pa.schema([(name, ARROW[kind]) for name, kind in columns.items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(i, SLICE) for b in batches for i in range(0, max(b.num_rows, 1), SLICE)):
+        size = rows or SLICE
+        for batch in (b.slice(i, size) for b in batches for i in range(0, max(b.num_rows, 1), size)):
             out = fn(batch)
             arrays = [v if isinstance(v := out[f.name], pa.Array) else pa.array(v, f.type) for f in schema]
             yield pa.RecordBatch.from_arrays(arrays, schema=schema)

@@ -7,7 +7,7 @@ import hashlib
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparkwalk.llm import bpe, chat, html, iblt, packing, quality, simhash, urls, warc
+from sparkwalk.llm import bpe, chat, html, iblt, packing, quality, simhash, suffix, urls, warc
 from sparkwalk.llm.common import map_batches, once, table
 
 URL_RULES = [
@@ -72,6 +72,11 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = suffix.remove(table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     coded = bpe.encode(table(spark, sf_dir, "documents"), path, pattern)
@@ -146,6 +151,7 @@ QUERIES = {
     "op3_urls": op3_urls,
     "op4_html": op4_html,
     "op5_quality": op5_quality,
+    "op6_suffix": op6_suffix,
     "op7_bpe": op7_bpe,
     "op8_iblt": op8_iblt,
     "op9_packing": op9_packing,
