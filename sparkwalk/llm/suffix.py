@@ -30,10 +30,11 @@ import gc
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from sparkwalk.llm.common import map_batches
+from sparkwalk.llm.common import map_batches, texts
 from sparkwalk.operators.ranking import dense_ids
 from sparkwalk.session import counted_cut, cut
 
@@ -202,13 +203,13 @@ def merge(shards: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray,
     return places, block, common
 
 
-def repeated_windows(texts: list[bytes], d: np.ndarray, lo: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+def repeated_windows(parts: list[bytes], d: np.ndarray, lo: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """(segment, offset) of the windows of these segments that also start earlier; segments in order of (d, lo)."""
-    joined = np.frombuffer(b"".join(t + b"\0" for t in texts), dtype=np.uint8).astype(np.uint16) + 1
-    sizes = np.array([len(t) + 1 for t in texts])
+    joined = np.frombuffer(b"".join(t + b"\0" for t in parts), dtype=np.uint8).astype(np.uint16) + 1
+    sizes = np.array([len(t) + 1 for t in parts])
     ends = np.cumsum(sizes)
     joined[ends - 1] = 0  # a mark that is no byte closes each segment
-    owner = np.repeat(np.arange(len(texts)), sizes)
+    owner = np.repeat(np.arange(len(parts)), sizes)
     offset = np.arange(len(joined)) - np.repeat(ends - sizes, sizes)
     shard_of = np.minimum((ends - sizes) // max(SHARD, -(-len(joined) // 200)), 254)  # by the segment's start
     cuts = np.flatnonzero(np.concatenate(([True], shard_of[1:] != shard_of[:-1])))
@@ -314,19 +315,20 @@ def marks(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def numbered(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """``docs`` as (d, key, text), with ``d`` in the order of documents, and its documents (d, text), each once.
+    """``docs`` with ``_d``, a number in the order of documents, and its documents (d, text), each once.
 
     Where all rows have keys of their own, these are the numbers.
     """
-    given = docs.select(F.col(key).cast("long").alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    keys = given.groupBy("_key").agg(F.count(F.lit(1)).alias("n"))
-    if not keys.filter((F.col("n") > 1) | F.col("_key").isNull()).limit(1).count():
-        rows = given.select(F.col("_key").alias("d"), "_key", "text")
-        return rows, rows.select("d", "text")
-    marked = given.withColumn("_h", F.xxhash64("text"))
-    order = dense_ids(marked.select("_key", "_h").distinct(), "d", ["_key", "_h"]).withColumnsRenamed({"_key": "_k", "_h": "_g"})
-    rows = marked.join(order, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_h") == F.col("_g"))).select("d", "_key", "text")
-    return rows, rows.select("d", "text").dropDuplicates(["d"])
+    told = F.coalesce(F.col(text), F.lit("")).alias("text")
+    keys = docs.groupBy(F.col(key).cast("long").alias("_key")).agg(F.count(F.lit(1)).alias("_n"))
+    if not keys.filter((F.col("_n") > 1) | F.col("_key").isNull()).limit(1).count():
+        rows = docs.withColumn("_d", F.col(key).cast("long"))
+        return rows, rows.select(F.col("_d").alias("d"), told)
+    marked = docs.withColumns({"_key": F.col(key).cast("long"), "_h": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
+    order = dense_ids(marked.select("_key", "_h").distinct(), "_d", ["_key", "_h"]).withColumnsRenamed({"_key": "_k", "_h": "_g"})
+    same = F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_h") == F.col("_g"))
+    rows = marked.join(order, same).select(*docs.columns, "_d")
+    return rows, rows.select(F.col("_d").alias("d"), told).dropDuplicates(["d"])
 
 
 def united(spans: list[dict]) -> list[tuple[int, int]]:
@@ -340,24 +342,55 @@ def united(spans: list[dict]) -> list[tuple[int, int]]:
     return [tuple(s) for s in out]
 
 
-def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(key, n_bytes, n_removed, n_spans, kept) of every document; ``kept`` holds the bytes that stay."""
+def with_spans(docs: DataFrame, key: str, text: str, length: int, gram: int) -> DataFrame:
+    """``docs`` with ``_spans``, the spans that go from each (a, b; not yet united)."""
     rows, once_each = numbered(docs, key, text)
     spans = marks(once_each, length, gram)
     settle(docs.sparkSession)
-    per = spans.groupBy("d").agg(F.collect_set(F.struct("a", "b")).alias("spans"))  # of one document
+    per = spans.groupBy(F.col("d").alias("_d")).agg(F.collect_set(F.struct("a", "b")).alias("_spans"))  # of one document
+    return rows.join(per, "_d", "left")
+
+
+def cut_from(data: bytes, gone: list[tuple[int, int]]) -> bytes:
+    edges = [0, *(x for s in gone for x in s), len(data)]
+    return b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2]))
+
+
+def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """(key, n_bytes, n_removed, n_spans, kept) of every document; ``kept`` holds the bytes that stay."""
 
     def run(batch):
         out = {"key": batch.column("_key"), "n_bytes": [], "n_removed": [], "n_spans": [], "kept": []}
-        for t, found in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
-            data = t.encode("utf-8", "surrogatepass")
-            gone = united(found or [])
-            edges = [0, *(x for s in gone for x in s), len(data)]
+        for t, found in zip(texts(batch, "_text"), batch.column("_spans").to_pylist()):
+            data, gone = t.encode("utf-8", "surrogatepass"), united(found or [])
             out["n_bytes"].append(len(data))
             out["n_removed"].append(sum(b - a for a, b in gone))
             out["n_spans"].append(len(gone))
-            out["kept"].append(b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2])))
+            out["kept"].append(cut_from(data, gone))
         return out
 
     kinds = {"key": "long", "n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept": "binary"}
-    return map_batches(rows.join(per, "d", "left").select("_key", "text", "spans"), run, kinds).withColumnRenamed("key", key)
+    given = with_spans(docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")), "_key", "_text", length, gram)
+    return map_batches(given.select(F.col("_key").cast("long").alias("_key"), "_text", "_spans"), run, kinds).withColumnRenamed("key", key)
+
+
+def clean(docs: DataFrame, key: str = "doc_id", text: str = "text", count: str = "n_chars", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """``docs``, all columns, with the repeated bytes cut from the text; ``count``, where there is such a column, counts anew.
+
+    Of a letter of which some bytes went the others go too.  A null text stays null.
+    """
+    names = docs.columns
+
+    def run(batches):
+        for batch in batches:
+            for part in (batch.slice(i, 256) for i in range(0, max(batch.num_rows, 1), 256)):
+                kept = [
+                    None if t is None else cut_from(t.encode("utf-8", "surrogatepass"), united(found or [])).decode("utf-8", "ignore")
+                    for t, found in zip(part.column(text).to_pylist(), part.column("_spans").to_pylist())
+                ]
+                arrays = {n: part.column(n) for n in names} | {text: pa.array(kept, part.schema.field(text).type)}
+                if count in names:
+                    arrays[count] = pa.array([None if t is None else len(t) for t in kept], part.schema.field(count).type)
+                yield pa.RecordBatch.from_arrays([arrays[n] for n in names], names=names)
+
+    return with_spans(docs, key, text, length, gram).select(*names, "_spans").mapInArrow(run, docs.schema)
