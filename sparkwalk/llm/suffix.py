@@ -39,8 +39,8 @@ from sparkwalk.operators.ranking import dense_ids
 from sparkwalk.session import counted_cut, cut
 
 LENGTH, GRAM = 100, 32
-#: Windows in a segment, windows looked at in one go, bytes in a bucket and in a shard of it, segments of a crowded anchor.
-RUN, STRETCH, BUCKET, SHARD, CROWD = 64, 1 << 18, 1 << 20, 1 << 16, 8_192
+#: Windows in a segment (no more than 128, and than LENGTH - GRAM + 1 at least), windows looked at in one go, bytes in a bucket and in a shard of it, segments of a crowded anchor.
+RUN, STRETCH, BUCKET, SHARD, CROWD = 128, 1 << 18, 1 << 20, 1 << 16, 8_192
 
 
 # ---- anchors and segments ------------------------------------------------------------------
@@ -87,17 +87,11 @@ def segments(data: bytes, length: int = LENGTH, gram: int = GRAM):
         lo = starts[which] + nth * RUN
         n = np.minimum(ends[which], lo + RUN) - lo
         anchors = least[lo]
-        # how often each segment's anchor comes among its grams
-        spots = np.flatnonzero(np.isin(grams, anchors[n > 0])) if len(anchors) else np.zeros(0, int)
-        value = grams[spots]
-        twice = np.zeros(len(lo), dtype=bool)
-        if len(spots) > 1:
-            again = np.sort(value)
-            again = np.unique(again[1:][again[1:] == again[:-1]])
-            if len(again):
-                for i in np.flatnonzero(np.isin(anchors, again)).tolist():
-                    own = grams[lo[i] : lo[i] + n[i] + length - gram]
-                    twice[i] = np.count_nonzero(own == anchors[i]) > 1
+        ordered = np.sort(grams)
+        again = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+        twice = np.isin(anchors, again)  # comes twice in the text, and perhaps in its segment
+        for i in np.flatnonzero(twice).tolist():
+            twice[i] = np.count_nonzero(grams[lo[i] : lo[i] + n[i] + length - gram] == anchors[i]) > 1
         found.append((anchors, lo + at, n, twice))
     if not found:
         return np.zeros(0, np.uint64), np.zeros(0, int), np.zeros(0, int), np.zeros(0, bool)
@@ -171,6 +165,11 @@ def before(text: np.ndarray, q: int) -> np.ndarray:
     return code
 
 
+def rows_of(interleave: np.ndarray, shards: int) -> np.ndarray:
+    """Where the rows of each shard stand, shard by shard."""
+    return np.concatenate([np.flatnonzero(interleave == s) for s in range(shards)])
+
+
 def merge(shards: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places in the joined text by the order of their first ``depth`` symbols, their block, and common prefixes.
 
@@ -178,11 +177,14 @@ def merge(shards: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray,
     to within the symbols of a round, -1 within a block.
     """
     rows = [suffix_order(t, depth) for t in shards]  # the transform of a shard is the symbols before its rows
-    q = 3 if len(np.unique(np.concatenate([before(t, 3) for t in shards]))) < 1 << 16 else 2
-    tables = {}
-    for size in {q, depth % q} - {0}:
-        codes = np.concatenate([before(t, size)[r] for t, r in zip(shards, rows)])
-        tables[size] = np.unique(codes, return_inverse=True)[1].astype(np.uint16)
+    for q in range(6, 1, -1):  # as many symbols a round as have numbers of 16 bits
+        tables = {}
+        for size in {q, depth % q} - {0}:
+            codes = np.concatenate([before(t, size)[r] for t, r in zip(shards, rows)])
+            distinct, tables[size] = np.unique(codes, return_inverse=True)
+        if len(distinct) <= 1 << 16 and max(t.max(initial=0) for t in tables.values()) < 1 << 16:
+            break
+    tables = {size: t.astype(np.uint16) for size, t in tables.items()}
     start = np.cumsum([0, *map(len, shards)])
     interleave = np.repeat(np.arange(len(shards), dtype=np.uint8), [len(t) for t in shards])
     block = np.zeros(len(interleave), dtype=np.int32)
@@ -191,7 +193,7 @@ def merge(shards: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray,
     while done < depth:
         size = min(q, depth - done)
         symbols = np.empty(len(interleave), dtype=np.uint16)
-        symbols[np.argsort(interleave, kind="stable")] = tables[size]  # the j-th row of a shard here is its j-th row
+        symbols[rows_of(interleave, len(shards))] = tables[size]  # the j-th row of a shard here is its j-th row
         order = np.argsort(symbols, kind="stable")
         interleave, block, symbols = interleave[order], block[order], symbols[order]
         parted = np.concatenate(([True], (symbols[1:] != symbols[:-1]) | (block[1:] != block[:-1])))
@@ -199,12 +201,14 @@ def merge(shards: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray,
         block = np.cumsum(parted, dtype=np.int32)
         done += size
     places = np.empty(len(interleave), dtype=np.int64)
-    places[np.argsort(interleave, kind="stable")] = np.concatenate([r + s for r, s in zip(rows, start)])
+    places[rows_of(interleave, len(shards))] = np.concatenate([r + s for r, s in zip(rows, start)])
     return places, block, common
 
 
 def repeated_windows(parts: list[bytes], d: np.ndarray, lo: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """(segment, offset) of the windows of these segments that also start earlier; segments in order of (d, lo)."""
+    if not parts:
+        return np.zeros(0, int), np.zeros(0, int)
     joined = np.frombuffer(b"".join(t + b"\0" for t in parts), dtype=np.uint8).astype(np.uint16) + 1
     sizes = np.array([len(t) + 1 for t in parts])
     ends = np.cumsum(sizes)
