@@ -113,6 +113,10 @@ def pair_components(pairs: DataFrame, nodes: DataFrame, keys: Sequence[str] = ()
 
 
 def connected_trips(pairs: DataFrame, nodes: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Trips whose two ends lie in one component, per key."""
+    """Trips whose two ends lie in one component, for every key that has nodes (0 if there are none)."""
     joined = pair_components(pairs, nodes, keys)
-    return joined.filter("cid_o = cid_d").groupBy(*keys).agg(F.sum("n_ods").alias("n_trips"))
+    trips = joined.filter("cid_o = cid_d").groupBy(*keys).agg(F.sum("n_ods").alias("n_trips"))
+    zero = F.coalesce("n_trips", F.lit(0).cast("bigint")).alias("n_trips")
+    if not keys:
+        return trips.select(zero)
+    return nodes.select(*keys).distinct().join(trips, list(keys), "left").select(*keys, zero)

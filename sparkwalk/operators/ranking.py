@@ -49,6 +49,19 @@ def running(
     return out.select(*kept, *[(F.col(f"_i_{n}") + F.col(f"_o_{n}")).alias(n) for n in exprs])
 
 
+def with_start(df: DataFrame, order_by: Sequence[Column | str], total: str, start: str) -> DataFrame:
+    """``df``, from ``running`` with its ``_range``, with ``start``: the very ``total`` of the row before, 0 in the first.
+
+    Taken over, not computed, so that the rows' intervals meet without gap or overlap whatever the rounding.
+    """
+    ends = df.groupBy("_range").agg(F.max(total).alias("_end"))
+    before = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select("_range", F.max("_end").over(before).alias("_before"))  # one row per partition
+    inside = Window.partitionBy("_range").orderBy(*order_by)
+    out = df.withColumn("_prior", F.lag(total).over(inside)).join(F.broadcast(ends), "_range")
+    return out.withColumn(start, F.coalesce("_prior", "_before", F.lit(0.0))).drop("_prior", "_before", "_range")
+
+
 def dense_ids(df: DataFrame, name: str, order_by: Sequence[Column | str], start: int = 0) -> DataFrame:
     """Surrogate ids ``start, start + 1, ...`` in the order of a unique key, repeatable."""
     out = running(df, order_by, rank="_rank")

@@ -11,15 +11,23 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sparkwalk.operators.components import pair_components, symmetric
-from sparkwalk.operators.skew import HOT_ROWS, MAX_HOT
+from sparkwalk.operators.skew import HOT_ROWS, hot_keys
 from sparkwalk.session import counted_cut, cut, discard
 
 FAR = 1 << 60  # longer than any route
 
 
 def arc_table(edges: DataFrame, keys: Sequence[str] = (), carry: Sequence[str] = ()) -> DataFrame:
-    """Directed arcs (keys, u, w, len, id, carry) of undirected links; loops lead nowhere and are left out."""
-    return symmetric(edges, keys, ["id", "len", *carry]).filter("u <> w")
+    """Directed arcs (keys, u, w, len, id, carry) of undirected links; loops lead nowhere and are left out.
+
+    Lengths are positive whole numbers (such as millimetres): ties must be exact, and along links of no length two
+    nodes could be each other's predecessor.  A length that is not fails the job where it is read.
+    """
+    kind = dict(edges.dtypes)["len"]
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError(f"lengths must be whole numbers, not {kind}")
+    sound = F.when(F.col("len") > 0, F.col("len")).otherwise(F.raise_error(F.lit("a link without a positive length")))
+    return symmetric(edges.withColumn("len", sound.cast(kind)), keys, ["id", "len", *carry]).filter("u <> w")
 
 
 def shortcuts(arcs: DataFrame, keys: Sequence[str] = (), carry: Sequence[str] = (), doublings: int = 2) -> DataFrame:
@@ -54,21 +62,13 @@ class _Arcs:
         arcs, seen = counted_cut(arcs)
         self.hubs = None
         if seen["n"] > hot_rows:
-            hubs = (
-                arcs.groupBy(*keys, "u")
-                .agg(F.count(F.lit(1)).alias("_n"))
-                .filter(F.col("_n") > hot_rows)
-                .orderBy(F.desc("_n"))
-                .limit(MAX_HOT)
-                .select(*keys, "u", F.ceil(F.col("_n") / hot_rows).cast("int").alias("_salts"))
-            )
-            hubs, seen = counted_cut(hubs)
-            if seen["n"]:
-                self.hubs = hubs  # at most MAX_HOT rows
+            hubs, count = hot_keys(arcs, [*keys, "u"], hot_rows)
+            if count:
+                self.hubs = hubs
         if self.hubs is not None:
             salts = F.coalesce(F.col("_salts"), F.lit(1))
             arcs = (
-                arcs.join(F.broadcast(self.hubs), [*keys, "u"], "left")
+                arcs.join(self.hubs, [*keys, "u"], "left")
                 .withColumn("_salt", F.pmod(F.xxhash64("w"), salts).cast("int"))
                 .drop("_salts")
             )
@@ -81,7 +81,7 @@ class _Arcs:
         on = [*self.keys, "u"]
         if self.hubs is not None:
             salts = F.coalesce(F.col("_salts"), F.lit(1))
-            front = front.join(F.broadcast(self.hubs), on, "left")
+            front = front.join(self.hubs, on, "left")
             front = front.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
             on = [*on, "_salt"]
         return front.join(self.arcs, on).drop("_salt")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Sequence
 
@@ -132,8 +133,11 @@ def nearest(points: DataFrame, pieces: DataFrame, key: str, distance: str = "dis
     Equal places are searched once, equal pieces keep their least key.  The search starts with
     a radius small enough that a cell of that size holds few pieces even where they are
     densest, accepts only answers within the radius, and doubles it for the places still
-    open, so crowded areas never build all pairs and empty ones only take more rounds.
+    open, so crowded areas never build all pairs and empty ones only take more rounds.  Points and pieces with a
+    coordinate that is null or no finite number are nowhere near anything and are left out.
     """
+    placed = lambda *names: functools.reduce(Column.__and__, [F.col(c) - F.col(c) == 0 for c in names])
+    points, pieces = points.filter(placed("x", "y")), pieces.filter(placed("x1", "y1", "x2", "y2"))
     targets = pieces.groupBy("x1", "y1", "x2", "y2").agg(F.min(key).alias(key))
     targets, seen = counted_cut(
         with_box(targets, piece_box()),

@@ -266,7 +266,7 @@ taken as (
 
 CHAINS = """e as (select id, src_vid, trg_vid, len_mm len, exists_, is_xwalk from net_edges where exists_),
 deg as (select vid, count(*) degree from (select src_vid vid from e union all select trg_vid from e) group by 1),
-free as (select vid from deg where degree <= 2 and vid not in (select vid from odpt2node where vid % 3 = 0)),
+free as (select vid from deg where degree <= 2 and vid not in (select vid from odpt2node)),
 chain0 as (select * from e where not is_xwalk and src_vid in (select vid from free) and trg_vid in (select vid from free)),
 nodes as (select src_vid vid from chain0 union select trg_vid from chain0),
 ve as (select 0 variant, src_vid, trg_vid from e where src_vid in (select vid from nodes) and trg_vid in (select vid from nodes)),

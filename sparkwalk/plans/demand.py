@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from sparkwalk.functions import geometry as G
 from sparkwalk.functions.scalar import clip, geoid, haversine_m, stops_along
 from sparkwalk.operators import spatial
-from sparkwalk.operators.ranking import dense_ids, running
+from sparkwalk.operators.ranking import dense_ids, running, with_start
 from sparkwalk.operators.relational import bbox_filter, lower_names, tags_long
 from sparkwalk.operators.skew import skew_join
 from sparkwalk.session import counted_cut, cut
@@ -69,7 +69,7 @@ def land_use_layer(features: DataFrame, categories: DataFrame, on: str, rename:
 
 
 def census_layer(counties: DataFrame, boundary: DataFrame, block_groups: DataFrame, acs: DataFrame) -> DataFrame:
-    """Census rows of the block groups that meet the city: (geoid, geometry, census columns).
+    """Census rows of the block groups that meet the city: (geoid, geometry, census columns), a row for each part.
 
     ``acs`` (state, county, tract, block_group, ...) is the census table; only counties of the
     city's first state are used.
@@ -82,8 +82,8 @@ def census_layer(counties: DataFrame, boundary: DataFrame, block_groups: DataFra
     ids = ["state", "county", "tract", "block_group"]
     rows = rows.withColumn("geoid", geoid(*[F.col(c) for c in ids])).drop(*ids)
     areas = lower_names(block_groups).select(F.col("geoid").cast("string").alias("geoid"), "geometry")
-    inside = spatial.polygons_meet(areas, city, "geometry", "_city").select("geoid", "geometry").dropDuplicates(["geoid"])
-    return inside.join(rows, "geoid")
+    inside = spatial.polygons_meet(areas, city, "geometry", "_city").select("geoid").distinct()
+    return areas.join(inside, "geoid", "left_semi").join(rows, "geoid")
 
 
 def od_points(
@@ -158,13 +158,20 @@ def draws(spark, start: int, count: int, seed: int) -> DataFrame:
     return spark.range(start, start + count).select(F.col("id").alias("draw_id")).withColumns({"u_o": unit(1), "u_d": unit(2)})
 
 
-def _cell_sizes(max_dist: float, metric: str, max_lat: float) -> tuple[float, float, int]:
-    """Cell width, cell height and how many cells the distance can span on either side."""
+def _cell_sizes(max_dist: float, metric: str, max_lat: float) -> tuple[float, float, int, int]:
+    """Cell width, cell height, how many cells the distance can span on either side, and columns around the globe (0: a plane).
+
+    In degrees the width follows from the widest reach in longitude of a circle around a point as far north or south
+    as any; a circle that holds a pole reaches all longitudes, and all cells lie in one column.
+    """
     side = max_dist / 4
     if metric == "planar":
-        return side, side, 4
-    per_degree = G.RADIUS_M * math.pi / 180
-    return side / (per_degree * max(math.cos(math.radians(min(max_lat, 89.0))), 1e-2)), side / per_degree, 5
+        return side, side, 4, 0
+    reach, lat = max_dist / G.RADIUS_M, math.radians(min(max_lat, 90.0))
+    inside = reach + lat < math.pi / 2
+    span = math.degrees(math.asin(min(1.0, math.sin(reach) / math.cos(lat)))) if inside else 360.0
+    columns = max(1, int(4 * 360 / span)) if inside else 1
+    return 360 / columns, math.degrees(side / G.RADIUS_M), 5, columns
 
 
 class TripSampler:
@@ -186,8 +193,12 @@ class TripSampler:
         dests = dests.withColumnRenamed("y", "dy")
         if not seen_o["n"] or not seen_d["n"]:
             raise ValueError("sampling needs an origin with a weight and a destination")
-        wide, high, ring = _cell_sizes(self.max_dist, metric, max(seen_o["lat"], seen_d["lat"]))
-        cell = lambda c, size: F.floor(F.col(c) / size)
+        wide, high, ring, columns = _cell_sizes(self.max_dist, metric, max(seen_o["lat"], seen_d["lat"]))
+
+        def cell(c: str, size: float) -> Column:
+            if columns and c in ("x", "dx"):  # longitudes meet behind the last column
+                return F.least(F.floor(F.pmod(F.col(c), F.lit(360.0)) / size), F.lit(columns - 1).cast("bigint"))
+            return F.floor(F.col(c) / size)
 
         placed = dests.withColumns({"dcx": cell("dx", wide), "dcy": cell("dy", high)})
         ranked = cut(running(placed, ["dcx", "dcy", "dest_odpt"], rank="pos"))
@@ -197,11 +208,12 @@ class TripSampler:
         ))
 
         homes = origins.withColumns({"ocx": cell("x", wide), "ocy": cell("y", high)})
-        homes = cut(homes)
+        self.homes = homes = cut(homes)
         around = F.sequence(F.lit(-ring), F.lit(ring))
+        wrapped = lambda c: F.pmod(c, F.lit(columns)).cast("bigint") if columns else c
         reach = (
             homes.select("ocx", "ocy").distinct()
-            .withColumn("dcx", F.explode(F.transform(around, lambda i: F.col("ocx") + i)))
+            .withColumn("dcx", F.explode(F.array_distinct(F.transform(around, lambda i: wrapped(F.col("ocx") + i)))))
             .withColumn("dcy", F.explode(F.transform(around, lambda i: F.col("ocy") + i)))
             .join(counts.select("dcx", "dcy", "cnt"), ["dcx", "dcy"])
         )
@@ -212,13 +224,13 @@ class TripSampler:
         choices = self.reach.groupBy("ocx", "ocy").agg(F.sum("cnt").alias("choices"))
         weighted = skew_join(homes, choices, ["ocx", "ocy"])
         lots, seen = counted_cut(
-            running(weighted, ["orig_odpt"], {"w_to": F.col("weight") * F.col("choices")}), total=F.max("w_to")
+            running(weighted, ["orig_odpt"], {"w_to": F.col("weight") * F.col("choices")}, keep_range=True), total=F.max("w_to")
         )
         if not seen["n"]:
             raise ValueError("no destination lies within reach of any origin")
         self.total, self.n_lots = float(seen["total"]), seen["n"]
         width = self.total / self.n_lots
-        lots = lots.withColumn("w_from", F.col("w_to") - F.col("weight") * F.col("choices"))
+        lots = with_start(lots, ["orig_odpt"], "w_to", "w_from")
         slots = F.sequence(F.floor(F.col("w_from") / width), F.floor(F.col("w_to") / width))
         # a heavy origin fills many slots, but all origins together at most 2 x n_lots
         self.lots = cut(lots.withColumn("slot", F.explode(slots)))
@@ -237,6 +249,11 @@ class TripSampler:
         pair = spot.join(self.dests, ["dcx", "dcy", "idx"])
         return pair.filter(self._distance() <= self.max_dist).select("draw_id", "orig_odpt", "dest_odpt")
 
+    def possible(self) -> bool:
+        """Whether any pair lies within range (looks until it finds one)."""
+        pairs = self.homes.join(self.reach.select("ocx", "ocy", "dcx", "dcy"), ["ocx", "ocy"]).join(self.dests, ["dcx", "dcy"])
+        return bool(pairs.filter(self._distance() <= self.max_dist).limit(1).count())
+
     def _distance(self) -> Column:
         if self.metric == "planar":
             return G.norm(F.col("x") - F.col("dx"), F.col("y") - F.col("dy"))
@@ -266,19 +283,19 @@ def sample_trips(
             trips = part if trips is None else trips.unionByName(part)
             have, start = have + seen["n"], start + count
             rate = max(have / start, 1e-3)
-            if not have and start > 1_000_000:
-                raise ValueError("no pair within range was found in a million draws")
+            if not have and trips is part and not sampler.possible():
+                raise ValueError("no origin with a weight has a destination within range")
     return dense_ids(trips, "od_id", ["draw_id"]).filter(F.col("od_id") < n).drop("draw_id")
 
 
 def _sample_anywhere(origins: DataFrame, dests: DataFrame, n: int, seed: int, given: DataFrame | None) -> DataFrame:
     """Origin by weight and destination uniformly, without a distance limit."""
     lots, seen = counted_cut(
-        running(origins.filter("weight > 0").select(F.col("odpt_id").alias("orig_odpt"), "weight"), ["orig_odpt"], {"w_to": "weight"}),
+        running(origins.filter("weight > 0").select(F.col("odpt_id").alias("orig_odpt"), "weight"), ["orig_odpt"], {"w_to": "weight"}, keep_range=True),
         total=F.max("w_to"),
     )
     width = float(seen["total"]) / seen["n"]
-    lots = lots.withColumn("w_from", F.col("w_to") - F.col("weight"))
+    lots = with_start(lots, ["orig_odpt"], "w_to", "w_from")
     lots = lots.withColumn("slot", F.explode(F.sequence(F.floor(F.col("w_from") / width), F.floor(F.col("w_to") / width))))
     places, ranked = counted_cut(dests.select(F.col("odpt_id").alias("dest_odpt")))
     places = running(places, ["dest_odpt"], rank="pos")

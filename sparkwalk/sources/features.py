@@ -22,11 +22,12 @@ def _numbers(col: Column, depth: int) -> Column:
     return F.transform(col, lambda c: _numbers(c, depth - 1))
 
 
-def read_features(spark: SparkSession, path: str | Sequence[str], properties: str, shape: str) -> DataFrame:
+def read_features(spark: SparkSession, path: str | Sequence[str], properties: str, shape: str, others: str = "fail") -> DataFrame:
     """Line-delimited GeoJSON: the properties (DDL) and one ``geometry`` column per single part.
 
     ``shape`` is "Point", "LineString" or "Polygon"; multi-part features come out as one row
-    per part.  Features of another shape, or without one, are dropped.
+    per part.  Features without a shape are dropped; those of another shape fail the job, or are
+    dropped if ``others`` is "drop".
     """
     fields = T.StructType.fromDDL(properties)
     line = T.StructType([
@@ -38,6 +39,9 @@ def read_features(spark: SparkSession, path: str | Sequence[str], properties: st
     nested = lambda d: "array<" * (d + 1) + "double" + ">" * (d + 1)
     one = F.when(F.col("_t") == shape, F.array(_points(F.from_json("_c", nested(depth)), depth)))
     many = F.when(F.col("_t") == f"Multi{shape}", _points(F.from_json("_c", nested(depth + 1)), depth + 1))
+    if others == "fail":
+        told = F.concat(F.lit(f"a feature that is no {shape}: "), F.col("_t"))
+        many = F.coalesce(many, F.when(F.col("_t").isNotNull() & (F.col("_t") != shape), F.raise_error(told)))
     return rows.select(*fields.names, F.explode(F.coalesce(one, many)).alias("geometry"))
 
 

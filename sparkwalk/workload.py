@@ -400,7 +400,7 @@ def nearest_road(spark, d):
 
 @query
 def chains_contracted(spark, d):
-    demanded = table(spark, d, "odpt2node").filter("vid % 3 = 0").select("vid")
+    demanded = table(spark, d, "odpt2node").select("vid")
     out = contract_chains(_current(spark, d), demanded)
     return out.select(F.concat_ws(",", "eids").alias("eids"), "orig_id", "is_xwalk", "src_vid", "trg_vid", "len")
 

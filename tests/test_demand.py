@@ -50,6 +50,28 @@ def test_sample_in_degrees(spark):
     assert {r.dest_odpt for r in trips.collect()} == {5, 7}  # 768 m and 789 m; the other is 960 m away
 
 
+@pytest.mark.parametrize("lon, lat, to_lon", [(179.999, 10.0, -179.999), (-179.9995, -45.0, 179.9995), (10.0, 89.9, 20.0), (0.0, 89.9999, 180.0)])
+def test_sample_across_the_date_line_and_near_a_pole(spark, lon, lat, to_lon):
+    origins = spark.createDataFrame([(1, lon, lat, 1.0)], "odpt_id int, x double, y double, weight double")
+    dests = spark.createDataFrame([(5, lon, lat), (6, to_lon, lat), (7, lon, lat - 1.0)], "odpt_id int, x double, y double")
+    trips = demand.sample_trips(origins, dests, 200, max_dist=2100.0, metric="haversine", seed=2).collect()
+    assert {r.dest_odpt for r in trips} == {5, 6} and len(trips) == 200
+
+
+def test_no_pair_in_range_is_told(spark):
+    origins = spark.createDataFrame([(1, 0.0, 0.0, 1.0)], "odpt_id int, x double, y double, weight double")
+    dests = spark.createDataFrame([(5, 80.0, 80.0)], "odpt_id int, x double, y double")
+    with pytest.raises(ValueError):
+        demand.sample_trips(origins, dests, 5, max_dist=100.0)
+
+
+def test_lots_meet(spark):
+    frame = spark.range(3000).select("id", (F.rand(3) * 1e-3 + 1e-9).alias("w")).repartition(7)
+    lots = ranking.running(frame, ["id"], {"to": "w"}, keep_range=True)
+    rows = ranking.with_start(lots, ["id"], "to", "since").orderBy("id").collect()
+    assert rows[0].since == 0 and all(a.to == b.since for a, b in zip(rows, rows[1:]))
+
+
 def test_gaps_and_running_sums(spark):
     rows = [(i, v) for i, v in enumerate([None, 2.0, None, None, 8.0, None])]
     out = ranking.interpolate_gaps(spark.createDataFrame(rows, "k int, v double"), "k", ["v"]).orderBy("k")

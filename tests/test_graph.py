@@ -7,7 +7,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from sparkwalk.operators import routing
+from sparkwalk.operators import components, routing
 from sparkwalk.operators.components import connected_components
 from sparkwalk.operators.contract import contract_chains
 from sparkwalk.plans import benefit
@@ -147,3 +147,17 @@ def test_chain_becomes_one_edge(spark):
     out = contract_chains(edges, spark.createDataFrame([(99,)], "vid int")).collect()
     assert [(list(r.eids), r.src_vid, r.trg_vid, r.len) for r in out if r.orig_id == -1] == [([1, 2, 3, 4], 1, 5, 50)]
     assert len(out) == 7
+
+
+def test_variant_without_a_connected_trip_counts_zero(spark):
+    edges = spark.createDataFrame([("a", 1, 2), ("b", 1, 3), ("c", 8, 9)], "variant string, src_vid int, trg_vid int")
+    pairs = spark.createDataFrame([(1, 2, 5), (2, 3, 7)], "vid_o int, vid_d int, n_ods bigint")
+    nodes = connected_components(edges, ["variant"])
+    assert sorted(map(tuple, components.connected_trips(pairs, nodes, ["variant"]).collect())) == [("a", 5), ("b", 0), ("c", 0)]
+
+
+def test_lengths_are_positive_whole_numbers(spark):
+    with pytest.raises(ValueError):
+        routing.arc_table(spark.createDataFrame([(1, 1, 2, 0.5)], "id int, src_vid int, trg_vid int, len double"))
+    with pytest.raises(Exception, match="positive length"):
+        routing.arc_table(spark.createDataFrame([(1, 1, 2, 0)], EDGE)).collect()

@@ -3,6 +3,8 @@
 import gzip
 import json
 
+import pytest
+
 from sparkwalk.sources import features, layers
 
 
@@ -34,6 +36,15 @@ def test_multi_part_features(spark, tmp_path):
     assert sorted((r.id, r.geometry[0].x) for r in rows) == [(1, 0.0), (2, 0.0), (2, 5.0)]
 
 
+def test_features_of_another_shape_are_not_lost_silently(spark, tmp_path):
+    path = tmp_path / "mixed.geojsonl"
+    shapes = [("Point", [0, 0]), ("LineString", [[0, 0], [1, 1]])]
+    path.write_text("\n".join(json.dumps({"type": "Feature", "properties": {"id": i}, "geometry": {"type": t, "coordinates": c}}) for i, (t, c) in enumerate(shapes)))
+    with pytest.raises(Exception, match="a feature that is no LineString: Point"):
+        features.read_features(spark, str(path), "id int", "LineString").collect()
+    assert [r.id for r in features.read_features(spark, str(path), "id int", "LineString", others="drop").collect()] == [1]
+
+
 def test_gzip_pois(spark, tmp_path):
     for i in range(2):
         with gzip.open(tmp_path / f"p{i}.csv.gz", "wt") as f:

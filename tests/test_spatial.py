@@ -49,6 +49,22 @@ def test_salted_join_equals_plain_join(spark, how):
     assert rows(skew_join(big, small, ["k"], how, hot_rows=20)) == rows(big.join(small, "k", how))
 
 
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_salted_join_of_ties_equal_rows_and_nulls(spark, how):
+    keys = [k for k in range(50) for _ in range(30)] + [None] * 200 + [99]
+    big = spark.createDataFrame([(k,) for k in keys], "k int")  # only a key: all rows of it are equal
+    small = spark.createDataFrame([(k,) for k in [*range(40), 3, None]], "k int")
+    rows = lambda df: sorted(map(str, df.collect()))
+    joined = skew_join(big, small, ["k"], how, hot_rows=20)
+    assert rows(joined) == rows(big.join(small, "k", how))
+
+
+def test_nearest_leaves_out_what_is_nowhere(spark):
+    points = spark.createDataFrame([(1, 0.0, 0.0), (2, None, 1.0), (3, float("nan"), 1.0), (4, float("inf"), 0.0)], "pt int, x double, y double")
+    pieces = spark.createDataFrame([(7, 1.0, 0.0, 1.0, 1.0), (8, None, 0.0, 0.0, 0.0), (9, float("nan"), 0.0, 0.0, 0.0)], "id int, x1 double, y1 double, x2 double, y2 double")
+    assert [(r.pt, r.id, r.dist) for r in spatial.nearest(points, pieces, "id").collect()] == [(1, 7, 1.0)]
+
+
 def one(spark, col):
     return spark.range(1).select(col.alias("c")).first().c
 
