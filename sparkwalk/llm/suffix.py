@@ -40,7 +40,7 @@ from sparkwalk.session import counted_cut, cut
 
 LENGTH, GRAM = 100, 32
 #: Windows in a segment (no more than 128, and than LENGTH - GRAM + 1 at least), windows looked at in one go, bytes in a bucket and in a shard of it, segments of a crowded anchor.
-RUN, STRETCH, BUCKET, SHARD, CROWD = 128, 1 << 18, 1 << 20, 1 << 16, 8_192
+RUN, STRETCH, BUCKET, SHARD, CROWD = 128, 1 << 18, 1 << 17, 1 << 14, 8_192
 
 
 # ---- anchors and segments ------------------------------------------------------------------
