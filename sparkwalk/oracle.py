@@ -266,7 +266,7 @@ taken as (
 
 CHAINS = """e as (select id, src_vid, trg_vid, len_mm len, exists_, is_xwalk from net_edges where exists_),
 deg as (select vid, count(*) degree from (select src_vid vid from e union all select trg_vid from e) group by 1),
-free as (select vid from deg where degree <= 2 and vid not in (select vid from odpt2node)),
+free as (select vid from deg where degree <= 2 and vid not in (select vid_o from od union select vid_d from od)),
 chain0 as (select * from e where not is_xwalk and src_vid in (select vid from free) and trg_vid in (select vid from free)),
 nodes as (select src_vid vid from chain0 union select trg_vid from chain0),
 ve as (select 0 variant, src_vid, trg_vid from e where src_vid in (select vid from nodes) and trg_vid in (select vid from nodes)),
@@ -400,7 +400,7 @@ from l join v a on a.x = x1 and a.y = y1 join v b on b.x = x2 and b.y = y2""",
         f"hit as (select m.id, min({{'d': {_piece('m.x', 'm.y', 'r')}, 'id': r.id}}) b from mid m join street_roads r on true group by 1)",
     )
     + "select id, b.id road_id, round(b.d, 6) dist from hit",
-    "chains_contracted": _with(ctes("net_edges", "odpt2node"), CHAINS, CC, CHAINS2, recursive=True)
+    "chains_contracted": _with(ctes("net_edges", "od"), CHAINS, CC, CHAINS2, recursive=True)
     + """select cast(id as varchar) eids, id orig_id, is_xwalk, src_vid, trg_vid, len from e
 where id not in (select c.id from chain c join two using (cid))
 union all

@@ -400,7 +400,8 @@ def nearest_road(spark, d):
 
 @query
 def chains_contracted(spark, d):
-    demanded = table(spark, d, "odpt2node").select("vid")
+    trips = table(spark, d, "od")  # nodes at which a trip starts or ends stay
+    demanded = trips.select(F.explode(F.array("vid_o", "vid_d")).alias("vid")).distinct()
     out = contract_chains(_current(spark, d), demanded)
     return out.select(F.concat_ws(",", "eids").alias("eids"), "orig_id", "is_xwalk", "src_vid", "trg_vid", "len")
 
