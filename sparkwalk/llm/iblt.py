@@ -20,14 +20,14 @@ their text hash; a null key comes first; a single document is its own successor;
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sparkwalk.llm.common import bind
-from sparkwalk.operators.ranking import dense_ids
 from sparkwalk.session import counted_cut, cut
 
 PARAGRAPH, SHARE = 256, 16
 SIZES = (12, 24, 48, 96, 192, 384)
+FOUND = "array<struct<k:bigint,c:int>>"
 
 
 def digests(text: Column) -> Column:
@@ -40,10 +40,10 @@ def check(digest: Column) -> Column:
     return F.xxhash64(F.lit("check"), digest).bitwiseAND(F.lit(0xFFFFFFFF))
 
 
-def placed(digest: Column, sign: Column, cells: int, salt: Column) -> Column:
+def placed(digest: Column, sign: Column, cells: Column, salt: Column) -> Column:
     """A digest with its cells, one in each of the three tables."""
-    third = cells // 3
-    at = lambda t: (F.pmod(F.xxhash64(F.lit(t), F.lit(cells), salt, digest), F.lit(third)) + t * third).cast("int")
+    third = (cells / 3).cast("int")
+    at = lambda t: (F.pmod(F.xxhash64(F.lit(t), cells, salt, digest), third) + t * third).cast("int")
     return F.struct(
         sign.cast("int").alias("c"), digest.alias("k"), check(digest).alias("h"), *[at(t).alias(f"i{t}") for t in range(3)]
     )
@@ -58,11 +58,11 @@ def added(cell: Column, items: Column, j: Column, sign: int) -> Column:
     return F.aggregate(own, cell, put)
 
 
-def sketch(items: Column, cells: int, salt: Column) -> Column:
+def sketch(items: Column, cells: Column, salt: Column) -> Column:
     """The cells of a set of digests."""
     zero = F.struct(F.lit(0).alias("c"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("h"))
     spots = F.transform(items, lambda d: placed(d, F.lit(1), cells, salt))
-    return bind(spots, lambda s: F.transform(F.sequence(F.lit(0), F.lit(cells - 1)), lambda j: added(zero, s, j, 1)))
+    return bind(spots, lambda s: F.transform(F.sequence(F.lit(0), cells - 1), lambda j: added(zero, s, j, 1)))
 
 
 def subtract(a: Column, b: Column) -> Column:
@@ -72,9 +72,9 @@ def subtract(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, minus)
 
 
-def peel(cells: Column, size: int, salt: Column) -> Column:
+def peel(cells: Column, size: Column, salt: Column) -> Column:
     """The digests left in subtracted cells, with sign (1 only left, -1 only right); null if peeling gets stuck."""
-    none = F.array().cast("array<struct<k:bigint,c:int>>")
+    none = F.array().cast(FOUND)
     first = F.struct(cells.alias("cells"), none.alias("found"), F.lit(True).alias("live"))
 
     def step(acc: Column, _: Column) -> Column:
@@ -91,14 +91,15 @@ def peel(cells: Column, size: int, salt: Column) -> Column:
 
     empty = lambda x: (x["c"] == 0) & (x["k"] == 0) & (x["h"] == 0)
     return F.aggregate(
-        F.sequence(F.lit(1), F.lit(size)), first, step, lambda acc: F.when(F.forall(acc["cells"], empty), acc["found"])
+        F.sequence(F.lit(1), size), first, step, lambda acc: F.when(F.forall(acc["cells"], empty), acc["found"])
     )
 
 
 def difference(a: Column, b: Column, salt: Column) -> Column:
     """The digests in which two small sets differ, from their sketches; null if none of ``SIZES`` will do."""
-    tries = [peel(subtract(sketch(a, m, salt), sketch(b, m, salt)), m, salt) for m in SIZES]
-    return F.coalesce(*tries)  # a larger one is made only if the one before got stuck
+    attempt = lambda m: peel(subtract(sketch(a, m, salt), sketch(b, m, salt)), m, salt)
+    larger = lambda found, m: F.when(found.isNotNull(), found).otherwise(attempt(m))
+    return F.aggregate(F.lit(list(SIZES)), F.lit(None).cast(FOUND), larger)  # a larger one only if those before got stuck
 
 
 def deal(items: Column, shards: Column, shift: int) -> Column:
@@ -137,7 +138,7 @@ def fingerprint(items: Column) -> Column:
     """The smallest sketch, written out."""
     hexed = lambda x, n: F.lpad(F.hex(x), n, "0")
     cells = F.transform(
-        sketch(items, SIZES[0], F.lit(0)), lambda x: F.concat(hexed(x["c"], 4), hexed(x["k"], 16), hexed(x["h"], 8))
+        sketch(items, F.lit(SIZES[0]), F.lit(0)), lambda x: F.concat(hexed(x["c"], 4), hexed(x["k"], 16), hexed(x["h"], 8))
     )
     return F.lower(F.concat(F.hex(F.size(items)), F.lit(":"), F.array_join(cells, "")))
 
@@ -155,41 +156,65 @@ def compare(pairs: DataFrame, left: str, right: str, out: str) -> DataFrame:
         todo, salt = tried.filter(F.coalesce(F.col(out) < 0, F.lit(True))).drop(out), salt + 1
 
 
+def range_of(key: Column, bounds: list[int]) -> Column:
+    """How many of the sorted bounds lie below the key, by binary search; 0 for null."""
+    if not bounds:
+        return F.lit(0)
+    table = F.lit(bounds)
+
+    def halve(acc: Column, _: Column) -> Column:
+        middle = F.shiftright(acc["lo"] + acc["hi"], 1)
+        below, open_ = F.get(table, middle) < key, acc["lo"] < acc["hi"]
+        return F.struct(
+            F.when(open_ & below, middle + 1).otherwise(acc["lo"]).alias("lo"), F.when(open_ & ~below, middle).otherwise(acc["hi"]).alias("hi")
+        )
+
+    steps = F.sequence(F.lit(1), F.lit(len(bounds).bit_length()))
+    return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi")), halve, lambda acc: acc["lo"])
+
+
 def versions(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, _row, n_chars, own, next, edited: digests; edited_sha256) of every document.
+    """(key, n_chars, own, next, edited: digests; edited_sha256) of every document.
 
     The edited text is the document with the last half of its code points replaced by as many (or all) of
-    the first of the next document.
+    the first of the next document.  Documents are dealt by ranges of the key, so the texts travel once and a
+    document meets the next one in its range; the first of each range also visits the range before.
     """
-    given = docs.select(F.col(key).cast("long").alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text")).select(
-        F.concat(F.coalesce(F.col("_key").cast("string"), F.lit("")), F.lit(":"), F.hex(F.xxhash64("_text"))).alias("_row"), "_key", "_text"
-    )
-    rows = given.select("_row", "_key", F.length("_text").cast("long").alias("_n")).distinct()
-    ranked, seen = counted_cut(dense_ids(rows, "_rank", ["_key", "_row"]))
-    count = max(seen["n"], 1)
-    ahead = ranked.select(
-        F.pmod(F.col("_rank") + 1, F.lit(count)).alias("_rank"), F.col("_row").alias("_before"), F.col("_n").alias("_n_before")
+    spark = docs.sparkSession
+    given = docs.select(F.col(key).cast("long").alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shares = [i / ranges for i in range(1, ranges)] or [0.5]
+    cuts = given.agg(F.percentile_approx("_key", shares, 10_000)).first()[0] or []  # one key a range
+    bounds = sorted(set(cuts))
+    rows = given.withColumns({"_hash": F.xxhash64("_text"), "_range": range_of(F.col("_key"), bounds)})
+    firsts = sorted(tuple(r) for r in rows.groupBy("_range").agg(F.min(F.struct("_key", "_hash")).alias("f")).select("_range", "f._key", "f._hash").collect())
+    host = [(firsts[i - 1][0], *f[1:]) for i, f in enumerate(firsts)]  # one row a range; the first of all visits the last
+    visits = F.broadcast(spark.createDataFrame(host, "_host int, _k long, _h long"))
+    visitors = rows.join(visits, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_hash") == F.col("_h"))).select(
+        "_key", "_text", "_hash", F.col("_host").alias("_range"), F.lit(1).alias("_visits")
     )
-    known = cut(ranked.join(ahead, "_rank").select("_row", "_n", "_before", "_n_before"))
-    own = given.join(known, "_row")  # the texts travel once, by row; both sides below read that exchange
-    half = lambda n: F.floor(n / 2).cast("int")
-    heads = own.select(
-        F.col("_before").alias("_row"),
-        F.substring("_text", F.lit(1), half(F.col("_n_before"))).alias("_head"),
-        digests(F.col("_text")).alias("next"),
+    order = Window.partitionBy("_range").orderBy("_visits", F.asc_nulls_first("_key"), "_hash")
+    here = F.struct("_visits", "_key", "_hash")
+    met = (
+        rows.withColumn("_visits", F.lit(0))
+        .unionByName(visitors)
+        .withColumn("_same", F.lag(here).over(order).eqNullSafe(here))
+        .filter("not _same")  # rows equal in key and text
+        .withColumn("_next", F.lead("_text").over(order))
+        .filter("_visits = 0")
     )
-    kept = F.substring(F.col("_text"), F.lit(1), (F.col("_n") - half(F.col("_n"))).cast("int"))
-    whole = own.select("_row", "_key", "_n", kept.alias("_kept"), digests(F.col("_text")).alias("own")).join(heads, "_row")
-    edited = whole.withColumn("_edited", F.concat("_kept", "_head"))
+    half = F.floor(F.length("_text") / 2).cast("int")
+    kept, head = F.substring(F.col("_text"), F.lit(1), F.length("_text") - half), F.substring(F.col("_next"), F.lit(1), half)
+    edited = met.withColumn("_edited", F.concat(kept, head))
     return edited.select(
-        F.col("_key").alias(key), "_row", F.col("_n").alias("n_chars"), "own", "next", digests(F.col("_edited")).alias("edited"),
-        F.sha2("_edited", 256).alias("edited_sha256"),
+        F.col("_key").alias(key), F.length("_text").cast("long").alias("n_chars"), digests(F.col("_text")).alias("own"),
+        digests(F.col("_next")).alias("next"), digests(F.col("_edited")).alias("edited"), F.sha2("_edited", 256).alias("edited_sha256"),
     )
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every document."""
-    told = cut(versions(docs, key, text).dropDuplicates(["_row"]))  # digests and digests' digests, no texts
+    told = cut(versions(docs, key, text))  # digests and digests' digests, no texts
     near = compare(compare(told, "own", "edited", "_edited"), "own", "next", "_next")
     return near.select(
         key, "n_chars", "edited_sha256", fingerprint(F.col("own")).alias("fingerprint"), fingerprint(F.col("edited")).alias("edited_fingerprint"),
