@@ -72,11 +72,83 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+OP5_SQL = r"""
+with texts as (
+  select doc_id, coalesce(lang, '') as lang, coalesce(text, '') as t from documents),
+split as (
+  select doc_id, lang, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as ls
+  from texts),
+windows as (
+  select doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] as s from split, unnest(range(1, len(ws) - 1)) as u(i)),
+twice as (select doc_id, s from windows group by doc_id, s having count(*) > 1),
+repeated as (
+  select doc_id, count(distinct i + k) as n from windows join twice using (doc_id, s), range(3) as r(k) group by doc_id),
+f as (
+  select doc_id, lang, len(ws) as n_words, length(array_to_string(ws, '')) as word_chars,
+         length(t) - length(translate(t, '#*$%&|<>', '')) as n_symbols, len(ls) - len(list_distinct(ls)) as n_dup_lines,
+         coalesce(n, 0) as n_repeat_words, len(list_filter(ws, lambda x: x = upper(x) and x <> lower(x))) as n_capitals,
+         length(t) - length(replace(t, '!', '')) as n_exclamations, len(ls) as n_lines
+  from split left join repeated using (doc_id)),
+levels(level, symbols, capitals, exclamations, repeats, lines) as (
+  values (0, 2.0, 0.95, 2.0, 0.9, 0.9), (1, 1.0, 0.9, 1.5, 0.8, 0.8), (2, 0.7, 0.8, 1.0, 0.7, 0.7), (3, 0.5, 0.7, 0.75, 0.6, 0.6),
+         (4, 0.35, 0.6, 0.5, 0.5, 0.5), (5, 0.25, 0.5, 0.4, 0.45, 0.45), (6, 0.15, 0.4, 0.3, 0.4, 0.4), (7, 0.1, 0.3, 0.2, 0.35, 0.35)),
+judged as (
+  select doc_id, lang, level, n_symbols > symbols * greatest(n_words, 1) or n_capitals > capitals * greatest(n_words, 1)
+         or n_exclamations > exclamations * greatest(n_words, 1) or n_repeat_words > repeats * greatest(n_words, 1)
+         or n_dup_lines > lines * greatest(n_lines, 1) as rejected
+  from f, levels),
+good as (select doc_id from labels group by doc_id having min(quality) = 1),
+counted as (
+  select lang, level, count(*) as n, count(*) filter (where rejected) as k from judged join good using (doc_id) group by lang, level),
+tails as (
+  select lang, level, any_value(n) as n, any_value(k) as k,
+         sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(0.03) + (n - j) * ln(0.97))) as tail
+  from counted, unnest(range(0, k + 1)) as u(j) group by lang, level),
+tested as (
+  select lang, level, k < n * 0.03 and tail <= 0.05 / count(*) over (partition by level) as ok from tails),
+certified as (
+  select lang, max(level) as level from (select *, bool_and(ok) over (partition by lang order by level) as so_far from tested)
+  where so_far group by lang)
+select f.doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_symbols::bigint as n_symbols,
+       n_dup_lines::bigint as n_dup_lines, n_repeat_words::bigint as n_repeat_words,
+       n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+       not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and not coalesce(rejected, false) as kept
+from f left join certified on certified.lang = f.lang
+       left join judged on judged.doc_id = f.doc_id and judged.level = certified.level
+"""
+
+
 def op6_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = suffix.remove(table(spark, sf_dir, "documents"))
     return cleaned.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+OP6_SQL = """
+with bytes as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+chunks as (
+  select doc_id, c, least(1000, length(h) // 2 - 99 - 1000 * c) as n, substring(h, 2000 * c + 1, 2198) as h
+  from bytes, unnest(range(0, (length(h) // 2 + 900) // 1000)) as u(c)),
+windows as (
+  select doc_id, 1000 * c + k as i, md5_number(substring(h, 2 * k + 1, 200)) as s from chunks, unnest(range(0, n)) as u(k)),
+later as (
+  select doc_id, i from (select *, row_number() over (partition by s order by doc_id, i) as nth from windows) where nth > 1),
+starts as (
+  select doc_id, i, coalesce(i > lag(i) over (partition by doc_id order by i) + 100, true)::int as fresh from later),
+runs as (select doc_id, i, sum(fresh) over (partition by doc_id order by i) as run from starts),
+spans as (select doc_id, min(i) as a, max(i) + 100 as b from runs group by doc_id, run),
+around as (select *, coalesce(lag(b) over (partition by doc_id order by a), 0) as after from spans),
+cut as (
+  select doc_id, sum(b - a) as n_removed, count(*) as n_spans, max(b) as last,
+         string_agg(substring(h, 2 * after + 1, 2 * (a - after)), '' order by a) as kept
+  from around join bytes using (doc_id) group by doc_id)
+select doc_id, (length(h) // 2)::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed,
+       coalesce(n_spans, 0)::bigint as n_spans,
+       sha256(unhex(coalesce(kept, '') || substring(h, 2 * coalesce(last, 0) + 1))) as kept_sha256
+from bytes left join cut using (doc_id)
+"""
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     coded = bpe.encode(table(spark, sf_dir, "documents"), path, pattern)
@@ -157,4 +229,4 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_chat": op10_chat,
 }
-ORACLE: dict[str, str] = {"op3_urls": OP3_SQL, "op10_chat": OP10_SQL}
+ORACLE: dict[str, str] = {"op3_urls": OP3_SQL, "op5_quality": OP5_SQL, "op6_suffix": OP6_SQL, "op10_chat": OP10_SQL}

@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 from fractions import Fraction
 
 import pytest
-from llm.sql import connect
+from llm.sql import connect, same
 
 from sparkwalk.llm import quality, queries
 
@@ -76,6 +76,10 @@ def test_equals_plain_count(spark, monkeypatch, limit):
         assert sorted(map(tuple, few.collect())) == sorted((*w[:6], *w[9:]) for w in want)
 
 
+def test_query_equals_sql(spark):
+    assert same(queries.op5_quality, queries.ORACLE["op5_quality"], spark, FOLDER)
+
+
 def test_tail_is_exact(spark):
     from pyspark.sql import functions as F
 

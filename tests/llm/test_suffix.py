@@ -5,7 +5,7 @@ import random
 
 import numpy as np
 import pytest
-from llm.sql import connect
+from llm.sql import connect, same
 
 from sparkwalk.llm import queries, suffix
 
@@ -34,6 +34,10 @@ def test_query_equals_plain(spark):
     assert any(r.n_removed for r in got)
 
 
+def test_query_equals_sql(spark):
+    assert same(queries.op6_suffix, queries.ORACLE["op6_suffix"], spark, "/root/testdata/sf0.01")
+
+
 def made(seed):
     rng = random.Random(seed)
     word = lambda: "".join(rng.choices("abé🙂 \n", k=rng.randrange(1, 9)))
