@@ -57,7 +57,8 @@ def contract_chains(edges: DataFrame, demanded: DataFrame, geometry: str | None
     if geometry is not None:
         parts = F.array_sort(F.collect_list(F.struct("id", F.col(geometry).alias("line"))))
         members.append(F.transform(parts, lambda p: p["line"]).alias(geometry))
-    merged = ends.join(chain.groupBy("cid").agg(*members), "cid")
+    # only clusters that are contracted are collected, and each becomes one row of the result
+    merged = ends.join(chain.join(ends.select("cid"), "cid", "left_semi").groupBy("cid").agg(*members), "cid")
     shape = [] if geometry is None else [geometry]
     orig = F.col("orig_id") if "orig_id" in edges.columns else F.col("id")
     kind = F.col("kind") if "kind" in edges.columns else F.lit(None).cast("string")

@@ -400,6 +400,12 @@ from l join v a on a.x = x1 and a.y = y1 join v b on b.x = x2 and b.y = y2""",
         f"hit as (select m.id, min({{'d': {_piece('m.x', 'm.y', 'r')}, 'id': r.id}}) b from mid m join street_roads r on true group by 1)",
     )
     + "select id, b.id road_id, round(b.d, 6) dist from hit",
+    "part_flags": """select p_partkey, coalesce(p_brand = 'Brand#13', false) is_brand, coalesce(p_size in (1, 5, 24), false) is_size from part""",
+    "parts_exploded": """select p_partkey, p_partkey::double x1, 0.0::double y1, p_partkey::double x2, p_size::double y2 from part where p_size > 10
+union all select p_partkey, p_partkey::double, p_size::double, p_partkey::double, 2 * p_size::double from part where p_size > 10""",
+    "unlinked_pairs": _with(ctes("net_edges"))
+    + """select id, src_vid, trg_vid from net_edges n where not exists_ and not exists (select 1 from net_edges e
+where e.exists_ and (e.src_vid = n.src_vid and e.trg_vid = n.trg_vid or e.src_vid = n.trg_vid and e.trg_vid = n.src_vid))""",
     "chains_contracted": _with(ctes("net_edges", "od"), CHAINS, CC, CHAINS2, recursive=True)
     + """select cast(id as varchar) eids, id orig_id, is_xwalk, src_vid, trg_vid, len from e
 where id not in (select c.id from chain c join two using (cid))

@@ -398,6 +398,35 @@ def nearest_road(spark, d):
     return crosswalks.nearest_road(known, roads).select("id", "road_id", F.round("road_dist", 6).alias("dist"))
 
 
+@query
+def part_flags(spark, d):
+    parts = spark.read.parquet(f"{d}/part.parquet")
+    return parts.select(
+        "p_partkey", relational.flag_equal("p_brand", "Brand#13").alias("is_brand"), relational.flag_in("p_size", [1, 5, 24]).alias("is_size")
+    )
+
+
+@query
+def parts_exploded(spark, d):
+    """Two-part lines, a part a row; the rows without a shape drop."""
+    x, y = F.col("p_partkey").cast("double"), F.col("p_size").cast("double")
+    line = lambda a, b: F.array(G.point(x, a), G.point(x, b))
+    shaped = spark.read.parquet(f"{d}/part.parquet").select(
+        "p_partkey", F.when(F.col("p_size") > 10, F.array(line(F.lit(0.0), y), line(y, y * 2))).alias("geometry")
+    )
+    out = relational.explode_parts(shaped, "geometry")
+    a, b = G.first_point(F.col("geometry")), G.last_point(F.col("geometry"))
+    return out.select("p_partkey", a.x.alias("x1"), a.y.alias("y1"), b.x.alias("x2"), b.y.alias("y2"))
+
+
+@query
+def unlinked_pairs(spark, d):
+    """Proposed links between nodes that no existing link joins, in either direction."""
+    edges = network(spark, d)
+    turned = _current(spark, d).select(F.col("trg_vid").alias("src_vid"), F.col("src_vid").alias("trg_vid"))
+    return relational.anti_join_either_order(edges.filter("not `exists`"), turned, "src_vid", "trg_vid").select("id", "src_vid", "trg_vid")
+
+
 @query
 def chains_contracted(spark, d):
     trips = table(spark, d, "od")  # nodes at which a trip starts or ends stay
