@@ -31,8 +31,8 @@ RULES = {
     "symbols": (("n_symbols", "n_words"), [2.0, 1.0, 0.7, 0.5, 0.35, 0.25, 0.15, 0.1]),
     "capitals": (("n_capitals", "n_words"), [0.95, 0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3]),
     "exclamations": (("n_exclamations", "n_words"), [2.0, 1.5, 1.0, 0.75, 0.5, 0.4, 0.3, 0.2]),
-    "repeats": (("n_repeat_words", "n_words"), [0.9, 0.8, 0.7, 0.6, 0.5, 0.45, 0.4, 0.35]),
-    "lines": (("n_dup_lines", "n_lines"), [0.9, 0.8, 0.7, 0.6, 0.5, 0.45, 0.4, 0.35]),
+    "repeats": (("n_repeat_words", "n_words"), [0.9, 0.8, 0.75, 0.7, 0.65, 0.6, 0.55, 0.5]),
+    "lines": (("n_dup_lines", "n_lines"), [0.9, 0.8, 0.75, 0.7, 0.65, 0.6, 0.55, 0.5]),
 }
 LEVELS = 8
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_capitals", "n_exclamations", "n_lines"]

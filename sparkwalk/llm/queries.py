@@ -91,8 +91,8 @@ f as (
          length(t) - length(replace(t, '!', '')) as n_exclamations, len(ls) as n_lines
   from split left join repeated using (doc_id)),
 levels(level, symbols, capitals, exclamations, repeats, lines) as (
-  values (0, 2.0, 0.95, 2.0, 0.9, 0.9), (1, 1.0, 0.9, 1.5, 0.8, 0.8), (2, 0.7, 0.8, 1.0, 0.7, 0.7), (3, 0.5, 0.7, 0.75, 0.6, 0.6),
-         (4, 0.35, 0.6, 0.5, 0.5, 0.5), (5, 0.25, 0.5, 0.4, 0.45, 0.45), (6, 0.15, 0.4, 0.3, 0.4, 0.4), (7, 0.1, 0.3, 0.2, 0.35, 0.35)),
+  values (0, 2.0, 0.95, 2.0, 0.9, 0.9), (1, 1.0, 0.9, 1.5, 0.8, 0.8), (2, 0.7, 0.8, 1.0, 0.75, 0.75), (3, 0.5, 0.7, 0.75, 0.7, 0.7),
+         (4, 0.35, 0.6, 0.5, 0.65, 0.65), (5, 0.25, 0.5, 0.4, 0.6, 0.6), (6, 0.15, 0.4, 0.3, 0.55, 0.55), (7, 0.1, 0.3, 0.2, 0.5, 0.5)),
 judged as (
   select doc_id, lang, level, n_symbols > symbols * greatest(n_words, 1) or n_capitals > capitals * greatest(n_words, 1)
          or n_exclamations > exclamations * greatest(n_words, 1) or n_repeat_words > repeats * greatest(n_words, 1)
