@@ -32,13 +32,13 @@ HIDDEN = set("script style noscript template svg math iframe object canvas selec
 MAIN = {"article", "main"}
 BOILER = set("nav footer aside form dialog menu".split())
 # Words in a class, id or role; hyphens, underscores and capitals part them.
-MAIN_NAMES = set("article main content post entry story body text prose".split())
+MAIN_NAMES = set("article main content post entry story prose".split())
 BOILER_NAMES = set(
     "ad ads advert adverts advertisement advertising adbox banner sponsor sponsored promo promotion nav navbar navigation menu "
     "breadcrumb breadcrumbs sidebar side aside rail footer masthead topbar toolbar cookie cookies consent gdpr notice notices alert "
     "warning popup modal overlay paywall subscribe subscription newsletter signup login share sharing social related recommended "
     "recommendations trending widget comment comments commentlist respond reply replies discussion disqus pagination pager form search "
-    "tags contentinfo complementary skip copyright legal disclaimer hidden".split()
+    "tags contentinfo complementary skip copyright legal disclaimer hidden announcement announcements dialog alertdialog menubar register".split()
 )
 
 # Labelled blocks, page by page in order: context (m main, b boilerplate, o open), words, of these in links, main text or not.
@@ -118,7 +118,7 @@ class Blocks(HTMLParser):
         names = {
             w.lower() for a in ("class", "id", "role") for w in NAMES.findall(given.get(a) or "")
         } if tag not in ("html", "body") else set()
-        if names & BOILER_NAMES:
+        if names & BOILER_NAMES or "header" in names and not names & MAIN_NAMES and self.context() != 1:
             return -1
         if tag in MAIN or names & MAIN_NAMES and self.context() != -1:
             return 1 if self.context() != -1 else -1

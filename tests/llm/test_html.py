@@ -49,6 +49,7 @@ def test_held_out_blocks():
         ("<article><script>var a='</p><p>x';</script><style>p{}</style><p>kept<!-- <p>no</p> --> on<noscript>no</noscript></p></article>", "kept on"),
         ("<article><p>text <span class='ad'>buy</span>goes on</p><section class='user-comments'><p>mine</p></section><p>end</p>", "text goes on\nend"),
         ("<article><p>" + "long " * 50_000 + "</p></article>", ("long " * 50_000).strip()),
+        ("<div class='site-header'>My site</div><div id=main><div class='post-header'><h1>T</h1></div><p class='text-muted'>By me</p></div><div role=dialog>sign up now</div>", "T\nBy me"),
         ("<article></div></p><p>a</span><p>b", "a\nb"),
     ],
 )
