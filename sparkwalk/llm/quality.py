@@ -18,6 +18,8 @@ level: then only the base rule rejects; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sparkwalk.llm.common import bind
@@ -75,12 +77,15 @@ def covered(starts: Column) -> Column:
     ).cast("long")
 
 
-def features(docs: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang") -> DataFrame:
-    """(key, _stratum, counts) of every text."""
+def features(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang", extra: Sequence[str] = ()
+) -> DataFrame:
+    """(key, _stratum, counts, extra) of every text."""
     base = docs.select(
         F.col(key).cast("long").alias("_key"),
         F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("_stratum"),
         F.coalesce(F.col(text), F.lit("")).alias("_text"),
+        *extra,
     )
     split = base.select(
         "*",
@@ -108,6 +113,7 @@ def features(docs: DataFrame, key: str = "doc_id", text: str = "text", stratum:
         F.size(F.filter("_words", shouted)).cast("long").alias("n_capitals"),
         removed(F.col("_text"), "!").alias("n_exclamations"),
         F.size("_lines").cast("long").alias("n_lines"),
+        *extra,
     )
 
 
@@ -162,10 +168,17 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang") -> DataFrame:
-    """(key, counts, base_failed, kept) of every row."""
-    feats = cut(features(docs, key, text, stratum))  # a few numbers per text, counted once
+def judge(
+    docs: DataFrame,
+    labels: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    stratum: str = "lang",
+    extra: Sequence[str] = (),
+) -> DataFrame:
+    """(key, counts, base_failed, kept, extra) of every row."""
+    feats = cut(features(docs, key, text, stratum, extra))  # a few numbers per text, counted once
     levels = cut(certified(feats, labels, key))
     return feats.join(levels, "_stratum", "left").select(
-        key, *COUNTS, base_failed().alias("base_failed"), (~base_failed() & ~rejected(F.col("_level"))).alias("kept")
+        key, *COUNTS, base_failed().alias("base_failed"), (~base_failed() & ~rejected(F.col("_level"))).alias("kept"), *extra
     )
