@@ -31,7 +31,9 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 HIDDEN = set("script style noscript template svg math iframe object canvas select textarea button head title audio video map datalist".split())
 MAIN = {"article", "main"}
 BOILER = set("nav footer aside form dialog menu".split())
-# Words in a class, id or role; hyphens, underscores and capitals part them.
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+# Whole names in a class, id or role.  Hyphens, underscores and capitals part a name into words; one of several words says
+# boilerplate if all of them do, but for words that say whose (before) or what kind of box (after): user-comments, AdBox.
 MAIN_NAMES = set("article main content post entry story prose".split())
 BOILER_NAMES = set(
     "ad ads advert adverts advertisement advertising adbox banner sponsor sponsored promo promotion nav navbar navigation menu "
@@ -40,6 +42,11 @@ BOILER_NAMES = set(
     "recommendations trending widget comment comments commentlist respond reply replies discussion disqus pagination pager form search "
     "tags contentinfo complementary skip copyright legal disclaimer hidden announcement announcements dialog alertdialog menubar register".split()
 )
+ADVERTS = set("ad ads advert adverts advertisement advertising adbox sponsor sponsored promo promotion".split())
+WHOSE = set("site page main top bottom left right primary secondary global mobile user users reader readers visitor post article entry content".split())
+BOXES = set("box bar area block list section wrapper wrap container inner outer panel pane content item items link links button buttons icons header title text thread body posts articles stories tools unit slot group".split())
+#: A wrapper that also has one of these names may be the layout of the whole page: an article in it is main text all the same.
+LAYOUT = set("layout wrapper wrap page site container grid row columns app".split())
 
 # Labelled blocks, page by page in order: context (m main, b boilerplate, o open), words, of these in links, main text or not.
 LABELLED = """
@@ -79,6 +86,14 @@ SPACE = re.compile(r"\s+")
 NAMES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
+def says_boilerplate(words: tuple[str, ...]) -> bool:
+    """Whether a name, as its words in lower case, names boilerplate."""
+    at = [i for i, w in enumerate(words) if w in BOILER_NAMES]
+    return bool(at) and all(
+        w in BOILER_NAMES or (w in WHOSE if i < at[0] else w in BOXES) for i, w in enumerate(words)
+    )
+
+
 @dataclass
 class Block:
     text: str
@@ -88,12 +103,14 @@ class Block:
 
 
 class Blocks(HTMLParser):
-    """Reads a page into flat blocks."""
+    """Reads a page into flat blocks; with ``adverts`` those inside a line are kept."""
 
-    def __init__(self) -> None:
+    def __init__(self, adverts: bool = False) -> None:
         super().__init__(convert_charrefs=True)
+        self.adverts = adverts
         self.blocks: list[Block] = []
         self.open: list[tuple[str, int, bool]] = []  # elements, their context, whether they hide their text
+        self.firm: dict[int, int] = {}  # of boilerplate elements by depth: 0 any article reopens it, 1 only main does, 2 none
         self.hidden = 0  # how many elements that are not shown are open
         self.links = 0
         self.parts: list[str] = []
@@ -108,21 +125,36 @@ class Blocks(HTMLParser):
             self.blocks.append(Block(text, len(text.split()), len("".join(self.linked).split()), self.context()))
         self.parts, self.linked = [], []
 
+    def unseen(self, given: dict[str, str | None]) -> bool:
+        return "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in (given.get("style") or "").replace(" ", "")
+
+    def firmness(self) -> int:
+        """How firmly the open elements, as far as the innermost main text, say boilerplate."""
+        main = max((i for i, e in enumerate(self.open) if e[1] == 1), default=-1)
+        return max((f for depth, f in self.firm.items() if main < depth < len(self.open)), default=2)
+
     def told(self, tag: str, attrs: list[tuple[str, str | None]]) -> int:
         """Context of a new element: by its tag and names, else that of its parent."""
-        given = dict(attrs)
-        if "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in (given.get("style") or "").replace(" ", ""):
-            return -1
-        if tag in BOILER or tag == "header" and self.context() != 1:
+        given, now = dict(attrs), self.context()
+        self.firm = {d: f for d, f in self.firm.items() if d < len(self.open)}
+        if self.unseen(given) or tag in BOILER or tag == "header" and now != 1:
+            self.firm[len(self.open)] = 2
             return -1
-        names = {
-            w.lower() for a in ("class", "id", "role") for w in NAMES.findall(given.get(a) or "")
-        } if tag not in ("html", "body") else set()
-        if names & BOILER_NAMES or "header" in names and not names & MAIN_NAMES and self.context() != 1:
+        if tag in HEADINGS and now != 0 or tag == "p" and now == 1:  # their names are anchors and looks
+            return now
+        whole = [
+            n for a in ("class", "id", "role") if tag not in ("html", "body") and not (a == "id" and tag in HEADINGS)
+            for n in (given.get(a) or "").split()
+        ]
+        names = [tuple(w.lower() for w in NAMES.findall(n)) for n in whole]
+        words = {w for n in names for w in n}
+        header = "header" in words and not words & MAIN_NAMES and now != 1
+        if tag != "main" and (header or any(map(says_boilerplate, names))):
+            self.firm[len(self.open)] = 0 if {n.lower() for n in whole} & LAYOUT and not header else 1
             return -1
-        if tag in MAIN or names & MAIN_NAMES and self.context() != -1:
-            return 1 if self.context() != -1 else -1
-        return self.context()
+        if tag in MAIN and (now != -1 or self.firmness() < (2 if tag == "main" else 1)):
+            return 1
+        return 1 if words & MAIN_NAMES and now != -1 else now
 
     def handle_starttag(self, tag, attrs) -> None:
         if tag in HIDDEN:
@@ -135,8 +167,8 @@ class Blocks(HTMLParser):
             self.linked.append(" ")
         if tag == "a":
             self.links = 1
-        if tag in INLINE and tag != "a" and self.context() != -1 and self.told(tag, attrs) == -1:
-            self.hidden += 1  # an advert or the like inside a line: left out, and the line goes on
+        if tag in INLINE and tag != "a" and self.context() != -1 and self.left_out(dict(attrs)):
+            self.hidden += 1  # an advert inside a line: left out, and the line goes on
             self.open.append((tag, self.context(), True))
         if tag in INLINE or tag in VOID and tag != "hr":
             return
@@ -148,6 +180,11 @@ class Blocks(HTMLParser):
         if tag not in VOID:
             self.open.append((tag, self.told(tag, attrs), False))
 
+    def left_out(self, given: dict[str, str | None]) -> bool:
+        """Whether an element inside a line is not shown, or an advert; other names there only tell its looks."""
+        names = [tuple(w.lower() for w in NAMES.findall(n)) for a in ("class", "id", "role") for n in (given.get(a) or "").split()]
+        return self.unseen(given) or not self.adverts and any(says_boilerplate(n) and ADVERTS & {*n} for n in names)
+
     def shut(self, tag: str, within: set[str]) -> None:
         """Close the innermost open ``tag`` and all in it, unless an element of ``within`` lies between."""
         for i in range(len(self.open) - 1, -1, -1):
@@ -188,10 +225,10 @@ class Blocks(HTMLParser):
             self.linked.append(data if self.links else " " if data[:1].isspace() else "")
 
 
-def blocks(html: str | None) -> list[Block]:
+def blocks(html: str | None, adverts: bool = False) -> list[Block]:
     if not html:
         return []
-    reader = Blocks()
+    reader = Blocks(adverts)
     reader.feed(html)
     reader.close()
     reader.flush()
@@ -250,7 +287,7 @@ def main_text(html: str | None, tree) -> str:
 
 def plain_text(html: str | None) -> str:
     """All shown text, main or not."""
-    return "\n".join(b.text for b in blocks(html))
+    return "\n".join(b.text for b in blocks(html, adverts=True))
 
 
 def extract(pages: DataFrame, key: str = "page_id", html: str = "html", url: str = "url") -> DataFrame:
