@@ -7,7 +7,7 @@ import hashlib
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparkwalk.llm import bpe, chat, html, iblt, packing, quality, simhash, suffix, urls, warc
+from sparkwalk.llm import bpe, chat, divergence, embeddings, html, iblt, lexical, packing, quality, simhash, suffix, urls, warc
 from sparkwalk.llm.common import map_batches, once, table
 
 URL_RULES = [
@@ -217,6 +217,97 @@ from whole
 """
 
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP11_SQL = r"""
+with words as (
+  select 'd' as side, doc_id as id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+  from documents
+  union all
+  select 'i', item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))
+  from benchmark),
+lengths as (select id as doc_id, count(*) as n from words where side = 'd' group by id),
+corpus as (select count(*)::bigint as big_n, sum(n)::bigint as big_l from lengths),
+wanted as (select distinct id as item_id, term from words where side = 'i'),
+tf as (select id as doc_id, term, count(*)::bigint as tf from words where side = 'd' and term in (select term from wanted) group by all),
+weights as (
+  select term, floor(1000 * ln((2 * big_n + 2)::double / (2 * count(*) + 1)::double))::bigint as w from tf, corpus group by term, big_n),
+scores as (
+  select item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * big_n) // big_l))))::bigint as score
+  from wanted join weights using (term) join tf using (term) join lengths using (doc_id), corpus group by all),
+ranked as (
+  select item_id, doc_id, score, row_number() over (partition by item_id order by score desc, doc_id)::int as rank from scores where score > 0)
+select item_id, rank, doc_id, score from ranked where rank <= 50
+"""
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+with docs as (
+  select doc_id, coalesce(lang, '') as lang, coalesce(source, '') as source,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+words as (select doc_id, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from docs),
+per_doc as (select doc_id, lang, source, term, count(*) as n from words group by all),
+kept as (select lang, term, sum(n)::hugeint as qn from per_doc group by lang, term having count(*) >= 30),
+langs as (
+  select l.lang, count(term)::hugeint as v, coalesce(sum(qn), 0)::hugeint as total from (select distinct lang from docs) l left join kept k on k.lang = l.lang
+  group by l.lang),
+counts as (select lang, source, term, sum(n)::hugeint as n from per_doc join kept using (lang, term) group by all),
+groups as (
+  select g.lang, g.source, coalesce(sum(n), 0)::hugeint as total from (select distinct lang, source from docs) g
+  left join counts c on c.lang = g.lang and c.source = g.source group by g.lang, g.source),
+p as (
+  select g.lang, g.source, k.term, coalesce(c.n, 0) as n, 1 + (1000000000::hugeint * (coalesce(c.n, 0) + 5)) // (g.total + 5 * l.v) as p,
+         1 + (1000000000::hugeint * (k.qn + 5)) // (l.total + 5 * l.v) as q
+  from groups g join langs l using (lang) join kept k using (lang)
+  left join counts c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+pairs as (
+  select a.lang, a.source, b.source as item, coalesce(sum(abs(x.p - y.p)), 0)::bigint as value
+  from groups a join groups b on a.lang = b.lang and a.source <> b.source
+  left join p x on x.lang = a.lang and x.source = a.source
+  left join p y on y.lang = b.lang and y.source = b.source and y.term = x.term
+  where x.term is null or y.term is not null
+  group by a.lang, a.source, b.source),
+found as (
+  select lang, source, 'pair' as part, item, value from pairs
+  union all
+  select lang, source, 'term', term, (p - q)::bigint from p where n > 0 and p > q),
+ranked as (
+  select *, row_number() over (partition by lang, source, part order by value desc, item)::int as rank from found)
+select lang, source, part, item, value, rank from ranked where part = 'pair' or rank <= 50
+"""
+
+
+def op13_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+OP13_SQL = """
+with sound as (
+  select vec_id, label, embedding::double[] as e from embeddings
+  where label is not null and len(embedding) > 0 and list_count(embedding) = len(embedding)
+    and len(list_filter(embedding, lambda x: not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as (
+  select a.vec_id as a, b.vec_id as b from sound a join sound b
+    on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+  where case when len(a.e) = len(b.e) then list_cosine_similarity(a.e, b.e) >= 0.98 else false end),
+reach as (
+  with recursive r(a, b) as (
+    select vec_id, vec_id from embeddings
+    union
+    select r.a, links.b from r join links on links.a = r.b)
+  select a as vec_id, min(b) as component_id from r group by a),
+counted as (select a as vec_id, count(*) as n from links group by a)
+select vec_id, coalesce(n, 0)::bigint as n_links, component_id, vec_id = component_id as kept
+from reach left join counted using (vec_id)
+"""
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_warc": op2_warc,
@@ -228,5 +319,11 @@ QUERIES = {
     "op8_iblt": op8_iblt,
     "op9_packing": op9_packing,
     "op10_chat": op10_chat,
+    "op11_lexical": op11_lexical,
+    "op12_divergence": op12_divergence,
+    "op13_embeddings": op13_embeddings,
 }
-ORACLE: dict[str, str] = {"op3_urls": OP3_SQL, "op5_quality": OP5_SQL, "op6_suffix": OP6_SQL, "op10_chat": OP10_SQL}
+ORACLE: dict[str, str] = {
+    "op3_urls": OP3_SQL, "op5_quality": OP5_SQL, "op6_suffix": OP6_SQL, "op10_chat": OP10_SQL, "op11_lexical": OP11_SQL,
+    "op12_divergence": OP12_SQL, "op13_embeddings": OP13_SQL,
+}
