@@ -31,6 +31,7 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 HIDDEN = set("script style noscript template svg math iframe object canvas select textarea button head title audio video map datalist".split())
 MAIN = {"article", "main"}
 BOILER = set("nav footer aside form dialog menu".split())
+ROWS, LISTS = frozenset(("li", "dt", "dd", "tr", "td", "th")), frozenset(("ul", "ol", "menu", "dl", "table"))
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 # Whole names in a class, id or role.  Hyphens, underscores and capitals part a name into words; one of several words says
 # boilerplate if all of them do, but for words that say whose (before) or what kind of box (after): user-comments, AdBox.
@@ -102,6 +103,10 @@ class Block:
     context: int  # 1 main, -1 boilerplate, 0 open
 
 
+def unseen(given: dict[str, str | None]) -> bool:
+    return "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in (given.get("style") or "").replace(" ", "")
+
+
 class Blocks(HTMLParser):
     """Reads a page into flat blocks; with ``adverts`` those inside a line are kept."""
 
@@ -125,9 +130,6 @@ class Blocks(HTMLParser):
             self.blocks.append(Block(text, len(text.split()), len("".join(self.linked).split()), self.context()))
         self.parts, self.linked = [], []
 
-    def unseen(self, given: dict[str, str | None]) -> bool:
-        return "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in (given.get("style") or "").replace(" ", "")
-
     def firmness(self) -> int:
         """How firmly the open elements, as far as the innermost main text, say boilerplate."""
         main = max((i for i, e in enumerate(self.open) if e[1] == 1), default=-1)
@@ -137,7 +139,7 @@ class Blocks(HTMLParser):
         """Context of a new element: by its tag and names, else that of its parent."""
         given, now = dict(attrs), self.context()
         self.firm = {d: f for d, f in self.firm.items() if d < len(self.open)}
-        if self.unseen(given) or tag in BOILER or tag == "header" and now != 1:
+        if unseen(given) or tag in BOILER or tag == "header" and now != 1:
             self.firm[len(self.open)] = 2
             return -1
         if tag in HEADINGS and now != 0 or tag == "p" and now == 1:  # their names are anchors and looks
@@ -175,17 +177,17 @@ class Blocks(HTMLParser):
         self.flush()
         if self.open and self.open[-1][0] == "p":  # a paragraph holds no other blocks
             self.open.pop()
-        if tag in ("li", "dt", "dd", "tr", "td", "th"):
-            self.shut(tag, {"ul", "ol", "menu", "dl", "table"})
+        if tag in ROWS:
+            self.shut(tag, LISTS)
         if tag not in VOID:
             self.open.append((tag, self.told(tag, attrs), False))
 
     def left_out(self, given: dict[str, str | None]) -> bool:
         """Whether an element inside a line is not shown, or an advert; other names there only tell its looks."""
         names = [tuple(w.lower() for w in NAMES.findall(n)) for a in ("class", "id", "role") for n in (given.get(a) or "").split()]
-        return self.unseen(given) or not self.adverts and any(says_boilerplate(n) and ADVERTS & {*n} for n in names)
+        return unseen(given) or not self.adverts and any(says_boilerplate(n) and ADVERTS & {*n} for n in names)
 
-    def shut(self, tag: str, within: set[str]) -> None:
+    def shut(self, tag: str, within: frozenset[str] = frozenset()) -> None:
         """Close the innermost open ``tag`` and all in it, unless an element of ``within`` lies between."""
         for i in range(len(self.open) - 1, -1, -1):
             name = self.open[i][0]
@@ -201,18 +203,18 @@ class Blocks(HTMLParser):
             self.links = 0
         if tag in INLINE:
             if self.open and self.open[-1][0] == tag:
-                self.shut(tag, set())
+                self.shut(tag)
             return
         if tag in HIDDEN:
             if any(n == tag for n, *_ in self.open):
-                self.shut(tag, set())
+                self.shut(tag)
             return
         if tag == "br":
             self.parts.append(" ")
             return
         self.flush()
         if tag != "p" or self.open and self.open[-1][0] == "p":
-            self.shut(tag, set())
+            self.shut(tag)
 
     def handle_startendtag(self, tag, attrs) -> None:
         self.handle_starttag(tag, attrs)
@@ -285,9 +287,99 @@ def main_text(html: str | None, tree) -> str:
     return "\n".join(b.text for b, x in zip(page, features(page)) if is_main(x, tree))
 
 
+class Shown(HTMLParser):
+    """Reads all shown text of a page, block by block, and keeps nothing else.
+
+    Open elements are kept with their attributes; what a page's names say about them is asked, of ``Blocks``, only
+    where an element inside a line is not shown.
+    """
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.lines: list[str] = []
+        self.parts: list[str] = []
+        self.open: list[tuple[str, list, bool]] = []
+        self.hidden = 0
+
+    def updatepos(self, i: int, j: int) -> int:
+        return j  # nobody asks for line numbers
+
+    def flush(self) -> None:
+        if self.parts:
+            text = " ".join("".join(self.parts).split())
+            if text:
+                self.lines.append(text)
+            self.parts = []
+
+    def boilerplate(self) -> bool:
+        reader = Blocks()
+        for tag, attrs, hides in self.open:
+            reader.open.append((tag, reader.context() if hides else reader.told(tag, attrs), hides))
+        return reader.context() == -1
+
+    def handle_starttag(self, tag, attrs) -> None:
+        if tag in INLINE:
+            if attrs and tag != "a" and unseen(dict(attrs)) and not self.boilerplate():
+                self.hidden += 1
+                self.open.append((tag, attrs, True))
+        elif tag in HIDDEN:
+            if tag != "head":
+                self.hidden += 1
+                self.open.append((tag, attrs, True))
+        elif tag in VOID and tag != "hr":
+            if tag == "br":
+                self.parts.append(" ")
+        else:
+            self.flush()
+            if self.open and self.open[-1][0] == "p":
+                self.open.pop()
+            if tag in ROWS:
+                self.shut(tag, LISTS)
+            if tag not in VOID:
+                self.open.append((tag, attrs, False))
+
+    def shut(self, tag: str, within: frozenset[str] = frozenset()) -> None:
+        for i in range(len(self.open) - 1, -1, -1):
+            name = self.open[i][0]
+            if name == tag:
+                self.hidden -= sum(hides for *_, hides in self.open[i:])
+                del self.open[i:]
+                return
+            if name in within:
+                return
+
+    def handle_endtag(self, tag) -> None:
+        if tag in INLINE:
+            if self.open and self.open[-1][0] == tag:
+                self.shut(tag)
+        elif tag in HIDDEN:
+            self.shut(tag)
+        elif tag == "br":
+            self.parts.append(" ")
+        else:
+            self.flush()
+            if tag != "p" or self.open and self.open[-1][0] == "p":
+                self.shut(tag)
+
+    def handle_startendtag(self, tag, attrs) -> None:
+        self.handle_starttag(tag, attrs)
+        if tag in HIDDEN:
+            self.handle_endtag(tag)
+
+    def handle_data(self, data) -> None:
+        if not self.hidden:
+            self.parts.append(data)
+
+
 def plain_text(html: str | None) -> str:
     """All shown text, main or not."""
-    return "\n".join(b.text for b in blocks(html, adverts=True))
+    if not html:
+        return ""
+    reader = Shown()
+    reader.feed(html)
+    reader.close()
+    reader.flush()
+    return "\n".join(reader.lines)
 
 
 def extract(pages: DataFrame, key: str = "page_id", html: str = "html", url: str = "url") -> DataFrame:

@@ -24,18 +24,12 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    built = warc.build(warc.responses(table(spark, sf_dir, "pages")))
+    def digests(record: bytes) -> tuple:
+        head, block = warc.parse(record)
+        return *map(head.get, ("WARC-Target-URI", "WARC-Date", "WARC-Block-Digest")), len(block), hashlib.sha256(record).hexdigest()
 
-    def digests(batch):
-        rows = [warc.parse(r) for r in batch.column("record").to_pylist()]
-        out = {c: batch.column(c) for c in ("page_id", "warc_type", "record_id", "refers_to")}
-        out |= {c: [h.get(n) for h, _ in rows] for c, n in (("target_uri", "WARC-Target-URI"), ("warc_date", "WARC-Date"), ("block_digest", "WARC-Block-Digest"))}
-        out["n_bytes"] = [len(b) for _, b in rows]
-        out["record_sha256"] = [hashlib.sha256(r).hexdigest() for r in batch.column("record").to_pylist()]
-        return out
-
-    strings = ("warc_type", "record_id", "refers_to", "target_uri", "warc_date", "block_digest")
-    return map_batches(built, digests, {"page_id": "long"} | {c: "string" for c in strings} | {"n_bytes": "long", "record_sha256": "string"})
+    told = {"target_uri": "string", "warc_date": "string", "block_digest": "string", "n_bytes": "long", "record_sha256": "string"}
+    return warc.build(warc.responses(table(spark, sf_dir, "pages")), tell=digests, told=told)
 
 
 def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import re
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -106,23 +107,26 @@ def derivatives(source_id: str, uri: str | None, date: str | None, block: bytes)
     return out
 
 
-def build(records: DataFrame, key: str = "page_id") -> DataFrame:
+def build(
+    records: DataFrame, key: str = "page_id", tell: Callable[[bytes], tuple] | None = None, told: dict[str, str] | None = None
+) -> DataFrame:
     """(key, warc_type, record_id, refers_to, record) of the derivatives.
 
-    ``records`` has key, warc_type, record_id, target_uri, warc_date and block (the HTTP response, bytes).
+    ``records`` has key, warc_type, record_id, target_uri, warc_date and block (the HTTP response, bytes).  With
+    ``tell`` the columns ``told`` (name: type), made from each record in the task that built it, stand in its place.
     """
-    names = ["key", "warc_type", "record_id", "refers_to", "record"]
+    names = ["key", "warc_type", "record_id", "refers_to", *(told or ["record"])]
 
     def run(batch):
         rows = []
         for k, source, uri, date, block in zip(*(batch.column(c).to_pylist() for c in ("key", "record_id", "target_uri", "warc_date", "block"))):
-            rows += [(k, kind, own, source, record) for kind, own, record in derivatives(source, uri, date, block or b"")]
+            rows += [(k, kind, own, source, *(tell(record) if tell else (record,))) for kind, own, record in derivatives(source, uri, date, block or b"")]
         return dict(zip(names, zip(*rows))) if rows else {n: [] for n in names}
 
     asked = records.filter((F.col("warc_type") == "response") & F.col("record_id").isNotNull()).select(
         F.col(key).cast("long").alias("key"), "record_id", "target_uri", F.col("warc_date").cast("string").alias("warc_date"), "block"
     )
-    kinds = {"key": "long", "warc_type": "string", "record_id": "string", "refers_to": "string", "record": "binary"}
+    kinds = {"key": "long", "warc_type": "string", "record_id": "string", "refers_to": "string", **(told or {"record": "binary"})}
     return map_batches(asked, run, kinds).withColumnRenamed("key", key)
 
 
