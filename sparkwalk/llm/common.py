@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import sys
 import types
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -54,6 +54,14 @@ def texts(batch: pa.RecordBatch, name: str) -> list[str]:
     return [x or "" for x in batch.column(name).to_pylist()]
 
 
+def fresh(name: str, taken: Iterable[str]) -> str:
+    """``name``, with underscores added until no column of ``taken`` has it (Spark compares without case)."""
+    known = {t.lower() for t in taken}
+    while name.lower() in known:
+        name += "_"
+    return name
+
+
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` applied to ``value``, which is computed once however often the body names it."""
     return F.transform(F.array(value), body)[0]

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
 from sparkwalk.llm.bpe import load
-from sparkwalk.llm.common import map_batches, once, texts
+from sparkwalk.llm.common import fresh, map_batches, once, texts
 from sparkwalk.session import counted_cut
 
 LENGTH, END, SHARD = 1024, 2, 16_384
@@ -131,7 +131,8 @@ def pack(parts: DataFrame, key: str = "doc_id", length: int = LENGTH, shard: int
     """``parts`` (key, piece, length and other columns) with sequence_id and offset."""
     parts, seen = counted_cut(parts)
     shards = max(1, round(seen["n"] / shard))
-    dealt = parts.withColumn("_shard", F.pmod(F.xxhash64("piece", key), F.lit(shards)).cast("int"))
+    own_shard = fresh("_shard", parts.columns)
+    dealt = parts.withColumn(own_shard, F.pmod(F.xxhash64("piece", key), F.lit(shards)).cast("int"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([key, "piece"], kind="stable").reset_index(drop=True)
@@ -145,13 +146,13 @@ def pack(parts: DataFrame, key: str = "doc_id", length: int = LENGTH, shard: int
                 offset.append(at)
                 at += lengths[i]
         out = pdf.iloc[order].copy()
-        out["sequence_id"] = np.array(number, dtype=np.int64) + (out["_shard"].to_numpy().astype(np.int64) << 40)
+        out["sequence_id"] = np.array(number, dtype=np.int64) + (out[own_shard].to_numpy().astype(np.int64) << 40)
         out["offset"] = np.array(offset, dtype=np.int64)
         return out[columns]
 
     columns = [*parts.columns, "sequence_id", "offset"]
     schema = ", ".join(f"`{n}` {t}" for n, t in parts.dtypes) + ", sequence_id bigint, offset bigint"
-    return dealt.groupBy("_shard").applyInPandas(run, schema)
+    return dealt.groupBy(own_shard).applyInPandas(run, schema)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

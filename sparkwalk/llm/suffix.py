@@ -381,20 +381,25 @@ def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
 def clean(docs: DataFrame, key: str = "doc_id", text: str = "text", count: str = "n_chars", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """``docs``, all columns, with the repeated bytes cut from the text; ``count``, where there is such a column, counts anew.
 
-    Of a letter of which some bytes went the others go too.  A null text stays null.
+    Of a letter of which some bytes went the others go too.  A null text stays null.  Columns may have any names: inside they go by number.
     """
-    names = docs.columns
+    at = {n: i for i, n in enumerate(docs.columns)}
+    plain = docs.toDF(*[f"c{i}" for i in at.values()])
+    body, counted = at[text], at.get(count)
 
     def run(batches):
         for batch in batches:
             for part in (batch.slice(i, 256) for i in range(0, max(batch.num_rows, 1), 256)):
+                arrays = list(part.columns)
                 kept = [
                     None if t is None else cut_from(t.encode("utf-8", "surrogatepass"), united(found or [])).decode("utf-8", "ignore")
-                    for t, found in zip(part.column(text).to_pylist(), part.column("_spans").to_pylist())
+                    for t, found in zip(arrays[body].to_pylist(), arrays.pop().to_pylist())
                 ]
-                arrays = {n: part.column(n) for n in names} | {text: pa.array(kept, part.schema.field(text).type)}
-                if count in names:
-                    arrays[count] = pa.array([None if t is None else len(t) for t in kept], part.schema.field(count).type)
-                yield pa.RecordBatch.from_arrays([arrays[n] for n in names], names=names)
-
-    return with_spans(docs, key, text, length, gram).select(*names, "_spans").mapInArrow(run, docs.schema)
+                arrays[body] = pa.array(kept, arrays[body].type)
+                if counted is not None:
+                    arrays[counted] = pa.array([None if t is None else len(t) for t in kept], arrays[counted].type)
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+    names = plain.columns
+    spans = with_spans(plain, f"c{at[key]}", f"c{body}", length, gram)
+    return spans.select(*names, "_spans").mapInArrow(run, plain.schema).toDF(*docs.columns)
