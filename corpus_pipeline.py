@@ -1,6 +1,8 @@
 """The corpus pipeline: quality rules, near-duplicates, repeated passages, packing.
 
-Each stage takes (spark, documents, folder of the tables); all but the last return the columns of documents.
+Each stage takes (spark, documents, folder of the tables); all but the last return the columns of documents, further ones too,
+whatever their names.  Null texts count as empty and pass each stage by its own rule (the quality rules reject them); texts of any
+length are read whole; ties go to the least key, then to the first row; empty tables stay empty.
 """
 
 from __future__ import annotations
@@ -11,7 +13,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparkwalk.llm import jaccard, packing, quality, suffix
+from sparkwalk.llm import packing, quality, simhash, suffix
+from sparkwalk.llm.common import fresh
 from sparkwalk.session import checkpoint_dir, cut
 
 
@@ -20,23 +23,24 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     own = docs.select("doc_id", "text", "lang", F.xxhash64("text").alias("_hash"), F.col("lang").alias("_lang"))
     judged = quality.judge(own, labels, extra=["_hash", "_lang"])
-    gone = judged.filter("not kept").select(F.col("doc_id").alias("_key"), "_hash", "_lang")
-    same = F.col("doc_id").eqNullSafe(F.col("_key")) & (F.xxhash64("text") == F.col("_hash"))
-    return docs.join(gone, same & F.col("lang").eqNullSafe(F.col("_lang")), "left_anti")
+    key, told, lang = (fresh(n, docs.columns) for n in ("key", "hash", "language"))
+    gone = judged.filter("not kept").select(F.col("doc_id").alias(key), F.col("_hash").alias(told), F.col("_lang").alias(lang))
+    same = F.col("doc_id").eqNullSafe(F.col(key)) & (F.xxhash64("text") == F.col(told))
+    return docs.join(gone, same & F.col("lang").eqNullSafe(F.col(lang)), "left_anti")
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near-duplicates (five-word shingles, Jaccard similarity of 0.8 or more): the least key, nulls last.
+    """One row of each group of near-duplicates, those of the SimHash operator with its own shingles and bits: the least key, null keys last.
 
-    Rows are told apart by key and text; of rows equal in both one stays.
+    Rows go by a number of their own, so null and repeated keys neither lose a group nor keep one twice.
     """
-    groups = cut(jaccard.near_duplicates(docs.select("doc_id", "text")))
-    who = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("key"), F.col("text_hash").alias("hash"))
-    best = groups.groupBy("component").agg(F.min(who).alias("w")).select(F.col("w.key").alias("_key"), F.col("w.hash").alias("_hash"))
-    same = F.col("doc_id").eqNullSafe(F.col("_key")) & (F.xxhash64("text") == F.col("_hash"))
-    kept = docs.join(best, same, "left_semi")
-    repeated = groups.groupBy("doc_id", "text_hash").count().filter("count > 1").limit(1).count()
-    return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept
+    row = fresh("row", [*docs.columns, "fp", "component"])
+    numbered = cut(docs.withColumn(row, F.monotonically_increasing_id()))
+    groups = simhash.near_duplicates(numbered, key=row)
+    rank = F.struct(F.col("d.doc_id").isNull().alias("none"), F.col("d.doc_id").alias("key"), F.col(f"d.{row}").alias("row"))
+    of = numbered.select("doc_id", row).alias("d").join(groups.select(row, "component").alias("g"), F.col(f"d.{row}") == F.col(f"g.{row}"))
+    best = of.groupBy("component").agg(F.min(rank).alias("w")).select(F.col("w.row").alias(row))
+    return numbered.join(best, row, "left_semi").select(*docs.columns)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
