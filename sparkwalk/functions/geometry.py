@@ -1,12 +1,15 @@
 """Geometry as column expressions.
 
 POINT = struct<x, y>, LINE = array<struct<x, y>>, POLYGON = array of rings (the first is the
-shell, the others are holes), all doubles in a plane (metres) unless stated otherwise.
+shell, the others are holes), all doubles in a plane (metres) unless stated otherwise.  A mixed layer holds
+SHAPE = struct<kind, parts>: ``kind`` names the geometry type, ``parts`` are polygons whatever the kind - a line is a part of
+one ring that need not close, a point a part of one ring of one point.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -86,6 +89,16 @@ def segment_distance(px: Column, py: Column, x1: Column, y1: Column, x2: Column,
     return norm(px - (x1 + t * dx), py - (y1 + t * dy))
 
 
+def piece_distance(a: Sequence[Column], b: Sequence[Column]) -> Column:
+    """Between two straight pieces (x1, y1, x2, y2 each; either may be a point): 0 where they meet."""
+    (ax, ay, bx, by), (cx, cy, dx, dy) = a, b
+    apart = F.least(
+        segment_distance(ax, ay, cx, cy, dx, dy), segment_distance(bx, by, cx, cy, dx, dy),
+        segment_distance(cx, cy, ax, ay, bx, by), segment_distance(dx, dy, ax, ay, bx, by),
+    )
+    return F.when(segments_cross(ax, ay, bx, by, cx, cy, dx, dy), F.lit(0.0)).otherwise(apart)
+
+
 def line_distance(p: Column, shape: Column) -> Column:
     return F.array_min(
         F.transform(segments(shape), lambda s: segment_distance(p.x, p.y, s["x1"], s["y1"], s["x2"], s["y2"]))
@@ -160,39 +173,77 @@ def polygons_intersect(a: Column, b: Column) -> Column:
     return edges_cross | inside
 
 
-def centroid(polygon: Column) -> Column:
-    """Area centroid of shell and holes; shapes without an area give the mean of their points."""
-    zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("cx"), F.lit(0.0).alias("cy"))
-    first = polygon.getItem(0).getItem(0)  # sums relative to a corner keep the digits
+def _sums(a: Column, cx: Column, cy: Column) -> Column:
+    return F.struct(a.alias("a"), cx.alias("cx"), cy.alias("cy"))
+
+
+def _added(items: Column) -> Column:
+    zero = _sums(F.lit(0.0), F.lit(0.0), F.lit(0.0))
+    return F.aggregate(items, zero, lambda acc, s: _sums(acc["a"] + s["a"], acc["cx"] + s["cx"], acc["cy"] + s["cy"]))
+
+
+def _area_sums(polygon: Column, x0: Column, y0: Column) -> Column:
+    """Area (times 2) and moments (times 6) of shell less holes, relative to (x0, y0), which keeps the digits."""
 
     def ring_sum(ring: Column) -> Column:
-        def add(acc: Column, s: Column) -> Column:
-            x1, y1, x2, y2 = s["x1"] - first.x, s["y1"] - first.y, s["x2"] - first.x, s["y2"] - first.y
+        def piece(s: Column) -> Column:
+            x1, y1, x2, y2 = s["x1"] - x0, s["y1"] - y0, s["x2"] - x0, s["y2"] - y0
             w = x1 * y2 - x2 * y1
-            return F.struct(
-                (acc["a"] + w).alias("a"), (acc["cx"] + (x1 + x2) * w).alias("cx"), (acc["cy"] + (y1 + y2) * w).alias("cy")
-            )
+            return _sums(w, (x1 + x2) * w, (y1 + y2) * w)
 
-        return F.aggregate(segments(ring), zero, add)
+        return _added(F.transform(segments(ring), piece))
 
-    def shell_minus_holes(acc: Column, item: Column) -> Column:
-        ring, i = item["r"], item["i"]
+    def signed(ring: Column, i: Column) -> Column:
+        total = ring_sum(ring)
         # orientation is not given: the shell counts positive, holes negative
-        flip = F.signum(ring["a"]) * F.when(i == 0, F.lit(1.0)).otherwise(F.lit(-1.0))
-        return F.struct(
-            (acc["a"] + flip * ring["a"]).alias("a"),
-            (acc["cx"] + flip * ring["cx"]).alias("cx"),
-            (acc["cy"] + flip * ring["cy"]).alias("cy"),
-        )
+        flip = F.signum(total["a"]) * F.when(i == 0, F.lit(1.0)).otherwise(F.lit(-1.0))
+        return _sums(flip * total["a"], flip * total["cx"], flip * total["cy"])
+
+    return _added(F.transform(polygon, signed))
+
+
+def _length_sums(pieces: Column, x0: Column, y0: Column) -> Column:
+    """Length and moments of straight pieces relative to (x0, y0)."""
+
+    def piece(s: Column) -> Column:
+        size = norm(s["x2"] - s["x1"], s["y2"] - s["y1"])
+        return _sums(size, size * ((s["x1"] + s["x2"]) / 2 - x0), size * ((s["y1"] + s["y2"]) / 2 - y0))
 
-    rings = F.transform(polygon, lambda r, i: F.struct(ring_sum(r).alias("r"), i.alias("i")))
-    total = F.aggregate(rings, zero, shell_minus_holes)
-    points = F.flatten(polygon)
-    mean = lambda c: F.aggregate(F.transform(points, lambda q: q[c]), F.lit(0.0), lambda s, v: s + v) / F.size(points)
+    return _added(F.transform(pieces, piece))
+
+
+def _mean_point(points: Column) -> Column:
+    mean = lambda c: F.aggregate(F.transform(points, lambda q: q[c]), F.lit(0.0), lambda s, v: s + v) / F.size(points)
+    return point(mean("x"), mean("y"))
+
+
+def centroid(polygon: Column) -> Column:
+    """Area centroid of shell and holes; shapes without an area give the mean of their points."""
+    first = polygon.getItem(0).getItem(0)
+    total = _area_sums(polygon, first.x, first.y)
+    return F.when(total["a"] != 0, point(first.x + total["cx"] / (3 * total["a"]), first.y + total["cy"] / (3 * total["a"]))).otherwise(
+        _mean_point(F.flatten(polygon))
+    )
+
+
+def shape_centroid(shape: Column) -> Column:
+    """Centroid of a SHAPE: by area over all parts of polygons, by length over lines, the mean of points.
+
+    Polygons without an area are taken as lines, lines without a length as points; a shape without a point has none.
+    """
+    parts, polygonal = shape["parts"], shape["kind"].endswith("Polygon")
+    points = F.flatten(F.flatten(parts))
+    first = F.get(points, F.lit(0))
+    area = _added(F.transform(F.when(polygonal, parts), lambda p: _area_sums(p, first["x"], first["y"])))
+    pieces = F.flatten(F.transform(F.flatten(parts), segments))
+    size = _length_sums(pieces, first["x"], first["y"])
     return F.when(
-        total["a"] != 0,
-        point(first.x + total["cx"] / (3 * total["a"]), first.y + total["cy"] / (3 * total["a"])),
-    ).otherwise(point(mean("x"), mean("y")))
+        polygonal & (area["a"] != 0), point(first["x"] + area["cx"] / (3 * area["a"]), first["y"] + area["cy"] / (3 * area["a"]))
+    ).otherwise(
+        F.when(size["a"] > 0, point(first["x"] + size["cx"] / size["a"], first["y"] + size["cy"] / size["a"])).otherwise(
+            F.when(F.size(points) > 0, _mean_point(points))
+        )
+    )
 
 
 def point_along(shape: Column, distance: Column) -> Column:

@@ -7,15 +7,19 @@ their order.  All keys (network variants) run in the same rounds.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from sparkwalk.operators import bands
 from sparkwalk.operators.components import pair_components, symmetric
 from sparkwalk.operators.skew import HOT_ROWS, hot_keys
-from sparkwalk.session import counted_cut, cut, discard
-
-FAR = 1 << 60  # longer than any route
+from sparkwalk.session import counted_cut, cut, discard, remove, stored
 
+#: Rows (origin, node) that one batch of betweenness may hold.
+BATCH_ROWS = 2_000_000_000
+#: Moves along links in one job of a sweep.
+MOVES = 6
 
 def arc_table(edges: DataFrame, keys: Sequence[str] = (), carry: Sequence[str] = ()) -> DataFrame:
     """Directed arcs (keys, u, w, len, id, carry) of undirected links; loops lead nowhere and are left out.
@@ -59,7 +63,8 @@ class _Arcs:
 
     def __init__(self, arcs: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS):
         self.keys = list(keys)
-        arcs, seen = counted_cut(arcs)
+        arcs, seen = counted_cut(arcs, longest=F.max("len"), total=F.sum("len"))
+        self.longest, self.mean = seen["longest"] or 0, -(-(seen["total"] or 0) // max(seen["n"], 1))
         self.hubs = None
         if seen["n"] > hot_rows:
             hubs, count = hot_keys(arcs, [*keys, "u"], hot_rows)
@@ -96,66 +101,14 @@ def distances(
     carry: Sequence[str] = (),
     doublings: int = 2,
     cutoff: int | None = None,
-) -> DataFrame:
-    """All distances needed for the pairs: rows (keys, scenario, o, v, dist, is_target).
+    width: int | None = None,
+) -> bands.Search:
+    """All distances needed for the pairs (keys, scenario, vid_o, vid_d[, upper]), settled band by band (``bands.search``).
 
-    ``pairs`` has (keys, scenario, vid_o, vid_d[, upper]); a null ``vid_d`` means "to every
-    node".  ``keys`` are equal on pairs and arcs; ``scenario`` columns belong to the pairs
-    only and meet the arcs' ``carry`` columns in the condition ``usable``.  ``upper`` is a
-    length already known to be reachable.
-
-    Each round lets the nodes whose distance fell in the last round reach one (short-cut)
-    arc further, keeps the least distance per (origin, node), and stops when nothing falls.
-    An origin stops growing beyond the farthest of its own destinations once all of them
-    are reached; that loses no distance, because lengths are positive.
+    ``keys`` are equal on pairs and arcs; ``scenario`` columns belong to the pairs only and meet the arcs' ``carry``
+    columns in the condition ``usable``.
     """
-    keys, scenario = list(keys), list(scenario)
-    who = [*keys, *scenario, "o"]
-    far = F.lit(FAR).cast("bigint")
-    upper = F.coalesce(F.col("upper"), far) if "upper" in pairs.columns else far
-    # ``upper`` of a row bounds the search of its origin; it is no distance of the row itself
-    plain = {"is_target": F.lit(False), "open": F.lit(False), "upper": far}
-    start = pairs.select(*keys, *scenario, F.col("vid_o").alias("o"), F.col("vid_o").alias("v"), F.col("vid_d").isNull().alias("open"))
-    target = pairs.filter("vid_d is not null").select(
-        *keys, *scenario, F.col("vid_o").alias("o"), F.col("vid_d").alias("v"), upper.alias("upper")
-    )
-    merge = [F.max("is_target").alias("is_target"), F.max("open").alias("open"), F.min("upper").alias("upper")]
-    state = (
-        start.withColumns({"dist": F.lit(0).cast("bigint"), "is_target": F.lit(False), "upper": far})
-        .unionByName(target.withColumns({"dist": far, "is_target": F.lit(True), "open": F.lit(False)}))
-        .groupBy(*who, "v")
-        .agg(F.min("dist").alias("dist"), *merge)
-        .withColumn("fresh", F.col("dist") == 0)
-    )
-    state, seen = counted_cut(state, fresh=F.count_if("fresh"))
-    net = _Arcs(shortcuts(arcs, keys, carry, doublings), keys)
-
-    def reach() -> DataFrame:
-        """Per origin the farthest of its destinations, as far as known by now."""
-        length = F.when(F.col("open"), far).otherwise(F.least("dist", "upper"))
-        return state.filter("is_target or open").groupBy(*who).agg(F.max(length).alias("_reach"))
-
-    while seen["fresh"]:
-        front = state.filter("fresh").select(*who, "v", "dist").join(reach(), who).filter("dist < _reach")
-        ahead = net.follow(front)
-        if usable is not None:
-            ahead = ahead.filter(usable)
-        ahead = ahead.select(*who, F.col("w").alias("v"), (F.col("dist") + F.col("len")).alias("dist"), "_reach")
-        ahead = ahead.filter("dist <= _reach" if cutoff is None else f"dist <= _reach and dist <= {int(cutoff)}")
-        merged = (
-            state.select(*who, "v", "dist", F.col("dist").alias("old"), "is_target", "open", "upper")
-            .unionByName(ahead.drop("_reach").withColumns({"old": F.lit(None).cast("bigint"), **plain}))
-            .groupBy(*who, "v")
-            .agg(F.min("dist").alias("dist"), F.min("old").alias("old"), *merge)
-        )
-        before = state
-        state, seen = counted_cut(
-            merged.select(*who, "v", "dist", "is_target", "open", "upper", (F.col("dist") < F.coalesce("old", far)).alias("fresh")),
-            fresh=F.count_if("fresh"),
-        )
-        discard(before)
-    found = state.filter(F.col("dist") < FAR).select(*who, "v", "dist", "is_target")
-    return found.join(reach(), who).filter("dist <= _reach").drop("_reach")
+    return bands.search(pairs, _Arcs(shortcuts(arcs, keys, carry, doublings), keys), keys, scenario, usable, cutoff, width)
 
 
 def routable_pairs(od: DataFrame, nodes: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -169,12 +122,12 @@ def pair_distances(
     pairs: DataFrame, edges: DataFrame, keys: Sequence[str] = (), cutoff: int | None = None
 ) -> DataFrame:
     """The pairs with ``d``, their shortest length; pairs without a route drop."""
-    state = distances(pairs.select(*keys, "vid_o", "vid_d").distinct(), arc_table(edges, keys), keys, cutoff=cutoff)
-    return _with_distance(pairs, state, keys)
+    result = distances(pairs.select(*keys, "vid_o", "vid_d").distinct(), arc_table(edges, keys), keys, cutoff=cutoff)
+    return _with_distance(pairs, bands.found(result), keys)
 
 
 def _with_distance(pairs: DataFrame, state: DataFrame, who: Sequence[str]) -> DataFrame:
-    d = state.filter("is_target").select(*who, F.col("o").alias("vid_o"), F.col("v").alias("vid_d"), F.col("dist").alias("d"))
+    d = state.select(*who, F.col("o").alias("vid_o"), F.col("v").alias("vid_d"), F.col("dist").alias("d"))
     return pairs.join(d, [*who, "vid_o", "vid_d"])
 
 
@@ -186,25 +139,25 @@ class Routes:
     """
 
     def __init__(self, pairs: DataFrame, edges: DataFrame, keys: Sequence[str] = (), cutoff: int | None = None):
-        self.keys = list(keys)
-        self.who = [*self.keys, "o"]
-        self.pairs = pairs
         arcs = arc_table(edges, keys)
-        self.state = distances(pairs.select(*keys, "vid_o", "vid_d").distinct(), arcs, keys, cutoff=cutoff)
-        came = (
-            _Arcs(arcs, keys)
-            .follow(self.state.select(*self.who, "v", "dist"))
-            .select(*self.who, F.col("w").alias("v"), (F.col("dist") + F.col("len")).alias("dist"), F.struct("id", "u").alias("via"))
-        )
-        best = came.join(self.state.select(*self.who, "v", "dist"), [*self.who, "v", "dist"])
-        # columns (keys, o, v, edge_id, p): the link into v and the node it comes from
-        self.tree = cut(
-            best.groupBy(*self.who, "v").agg(F.min("via").alias("via")).select(
-                *self.who, "v", F.col("via.id").alias("edge_id"), F.col("via.u").alias("p")
-            ).filter("v <> o")
-        )
+        result = distances(pairs.select(*keys, "vid_o", "vid_d").distinct(), arcs, keys, cutoff=cutoff)
+        state = cut(bands.within_reach(result))
+        result.discard()
+        self._set(pairs, keys, state, cut(_links_into(state, state, _Arcs(arcs, keys), [*keys, "o"])))
+
+    def _set(self, pairs: DataFrame, keys: Sequence[str], state: DataFrame, tree: DataFrame) -> None:
+        self.keys, self.who = list(keys), [*keys, "o"]
+        self.pairs = pairs
+        self.state = state  # (keys, o, v, dist)
+        self.tree = tree  # (keys, o, v, edge_id, p): the link into v and the node it comes from
         self._ladder: list[DataFrame] | None = None
 
+    @classmethod
+    def of(cls, pairs: DataFrame, keys: Sequence[str], state: DataFrame, tree: DataFrame) -> Routes:
+        out = cls.__new__(cls)
+        out._set(pairs, keys, state, tree)
+        return out
+
     def ladder(self) -> list[DataFrame]:
         """Ancestors 1, 2, 4, ... links up each tree, until no node is that deep."""
         if self._ladder is None:
@@ -267,27 +220,46 @@ def edge_trips(pairs: DataFrame, edges: DataFrame, keys: Sequence[str] = ()) ->
     return edges.join(trips, [*keys, "id"], "left").fillna({"n_trips": 0})
 
 
-def _push(start: DataFrame, step, block: int = 3) -> DataFrame:
-    """``start`` and everything ``step`` makes of it, again and again, until nothing is left.
+def _sweep(order: Sequence[int], base, relation: dict[int, str], schema, who: Sequence[str], block: int = MOVES) -> dict[int, list[str]]:
+    """Amounts handed on along the rows of ``relation``, band by band in the given order.
 
-    Several steps run per job, because on short hops the jobs cost more than the joins.
+    ``base(k)`` has the amounts (who, v, s) that start in band k, ``relation`` a folder of rows (who, v, to, weight, here, there)
+    for each band ``here`` of v.  Whatever reaches a node is handed on with the weight; amounts for a band not yet
+    open wait in its folder.  A band is left when nothing moves inside it; several moves run per job, because on short hops the jobs
+    cost more than the joins.  Gives the folders of all amounts that were handed on, by the band of their node.
     """
-    total, level = start, start
-    while True:
-        made = None
-        for i in range(block):
-            level = step(level)
-            tagged = level.withColumn("_i", F.lit(i))
-            made = tagged if made is None else made.unionByName(tagged)
-        made, seen = counted_cut(made, last=F.count_if(F.col("_i") == block - 1))
-        total = total.unionByName(made.drop("_i"))
-        if not seen["last"]:
-            return total
-        level = made.filter(F.col("_i") == block - 1).drop("_i")
+    flows: dict[int, list[str]] = {}
+    who = list(who)
+    for k in order:
+        level = base(k)
+        spark = level.sparkSession
+        if k in flows:
+            level = level.unionByName(bands.read(spark, schema, flows[k]).select(*who, "v", "s"))
+        level = level.groupBy(*who, "v").agg(F.sum("s").alias("s"))
+        while k in relation:
+            rows, made = bands.read(spark, relation[k].schema, [relation[k].path]), None
+            for i in range(block):
+                moved = level.join(rows, [*who, "v"])
+                moved = moved.groupBy(*who, F.col("to").alias("v"), "here", "there").agg(F.sum(F.col("s") * F.col("weight")).alias("s"))
+                level = moved.filter("here = there").select(*who, "v", "s")
+                tagged = moved.withColumn("move", F.lit(i))
+                made = tagged if made is None else made.unionByName(tagged)
+            inside = F.col("here") == F.col("there")
+            path, seen = stored(
+                made.withColumn("at", F.col("there")), ["at", "move"], last=F.count_if(inside & (F.col("move") == block - 1)),
+                bands=F.bit_or(F.expr("shiftleft(1L, cast(abs(there - here) as int))")),
+            )
+            step = 1 if len(order) < 2 or order[0] < order[-1] else -1
+            for b in bands.bits(seen["bands"]):
+                flows.setdefault(k + step * b, []).append(f"{path}/at={k + step * b}")
+            if not seen["last"]:
+                break
+            level = bands.read(spark, schema, [f"{path}/at={k}/move={block - 1}"]).select(*who, "v", "s")
+    return flows
 
 
 def edge_betweenness(
-    edges: DataFrame, keys: Sequence[str] = (), sources: DataFrame | None = None
+    edges: DataFrame, keys: Sequence[str] = (), sources: DataFrame | None = None, batches: int | None = None
 ) -> DataFrame:
     """The links with ``bwness``: shortest paths over each link, ties split evenly.
 
@@ -295,61 +267,145 @@ def edge_betweenness(
     (keys, vid) limits the origins; the result is then the sum over those origins only
     (Brandes & Pich 2007 scale it up to an estimate), halved likewise.
 
-    With exact distances, the arcs on shortest paths are those with
-    dist(w) = dist(u) + len.  Path counts are pushed forward along them hop by hop, the
-    dependencies backward; both are plain joins and sums.
+    Origins are treated in ``batches`` (by default as many as keep sources x nodes of one below ``BATCH_ROWS``); of
+    each only the sums per link stay.  With exact distances, the arcs on shortest paths are those with
+    dist(w) = dist(u) + len.  Path counts are handed on along them from the nearest band outwards, dependencies from the farthest
+    band inwards, so every join reads the arcs of one band only and no plan grows with the number of hops.
     """
     keys = list(keys)
-    who = [*keys, "o"]
+    spark = edges.sparkSession
     if sources is None:
         sources = edges.select(*keys, F.explode(F.array("src_vid", "trg_vid")).alias("vid")).distinct()
-    arcs = arc_table(edges, keys)
-    pairs = sources.select(*keys, F.col("vid").alias("vid_o"), F.lit(None).cast(edges.schema["src_vid"].dataType).alias("vid_d"))
-    state = cut(distances(pairs, arcs, keys).select(*who, "v", "dist"))
-    dag = cut(
-        _Arcs(arcs, keys)
-        .follow(state)
-        .select(*who, "u", "w", "id", (F.col("dist") + F.col("len")).alias("dist"))
-        .join(state.withColumnRenamed("v", "w"), [*who, "w", "dist"])
-        .select(*who, "u", "w", "id")
-    )
-    start = state.filter("dist = 0").select(*who, "v", F.lit(1.0).alias("s"))
+    vid = edges.schema["src_vid"].dataType
+    arcs, seen = counted_cut(arc_table(edges, keys))
+    if batches is None:
+        n_arcs = seen["n"]
+        sources, seen = counted_cut(sources)
+        batches = max(1, -(-seen["n"] * n_arcs // BATCH_ROWS))  # no origin reaches more nodes than there are arcs
+    net, plain = _Arcs(shortcuts(arcs, keys), keys), _Arcs(arcs, keys)
+    width = (MOVES - 1) * plain.mean or None  # so that one job usually ends a band
+    sums: list[str] = []
+    empty = edges.select(*keys, "id").limit(0).withColumn("part", F.lit(0.0))
+    for batch in range(batches):
+        own = sources.filter(F.pmod(F.xxhash64("vid"), F.lit(batches)) == batch) if batches > 1 else sources
+        pairs = own.select(*keys, F.col("vid").alias("vid_o"), F.lit(None).cast(vid).alias("vid_d"))
+        sums.append(_link_sums(bands.search(pairs, net, keys, width=width), plain, keys))
+    passed = bands.read(spark, empty.schema, sums).groupBy(*keys, "id").agg((F.sum("part") / 2).alias("bwness"))
+    return edges.join(passed, [*keys, "id"], "left").fillna({"bwness": 0.0})
 
-    def forward(level: DataFrame) -> DataFrame:
-        moved = level.withColumnRenamed("v", "u").join(dag, [*who, "u"])
-        return moved.groupBy(*who, F.col("w").alias("v")).agg(F.sum("s").alias("s"))
 
-    sigma = cut(_push(start, forward).groupBy(*who, "v").agg(F.sum("s").alias("s")))
-    shares = cut(
-        dag.join(sigma.select(*who, F.col("v").alias("u"), F.col("s").alias("su")), [*who, "u"])
-        .join(sigma.select(*who, F.col("v").alias("w"), F.col("s").alias("sw")), [*who, "w"])
-        .select(*who, "u", "w", "id", (F.col("su") / F.col("sw")).alias("share"))
+def _link_sums(result: bands.Search, plain: _Arcs, keys: Sequence[str]) -> str:
+    """The folder of (keys, id, part): what the origins of one search add to each link; everything else is dropped again."""
+    who, width, spark = result.who, result.width, result.spark
+    numbers = [k for k, _, _ in result.bands]
+    at = lambda d: F.call_function("div", F.col(d), F.lit(width).cast("bigint"))
+    state = result.settled()
+    dag = (
+        plain.follow(state)
+        .select(*who, "u", "w", "id", F.col("dist").alias("near"), (F.col("dist") + F.col("len")).alias("dist"))
+        .join(state.withColumnRenamed("v", "w"), [*who, "w", "dist"])
+        .select(*who, "u", "w", "id", at("near").alias("bu"), at("dist").alias("bw"))
     )
-
-    def backward(level: DataFrame) -> DataFrame:
-        moved = level.withColumnRenamed("v", "w").join(shares, [*who, "w"])
-        return moved.groupBy(*who, F.col("u").alias("v")).agg(F.sum(F.col("x") * F.col("share")).alias("x"))
-
-    ends = state.filter("v <> o").select(*who, "v", F.lit(1.0).alias("x"))
-    arrived = _push(ends, backward).groupBy(*who, "v").agg(F.sum("x").alias("x"))
-    passed = (
-        arrived.withColumnRenamed("v", "w")
-        .join(shares, [*who, "w"])
-        .groupBy(*keys, "id")
-        .agg((F.sum(F.col("x") * F.col("share")) / 2).alias("bwness"))
+    dag, seen = counted_cut(dag)
+    if not seen["n"]:
+        result.discard()
+        discard(dag)
+        return stored(dag.select(*keys, "id", F.lit(0.0).alias("part")))[0]
+    forward = dag.select(*who, F.col("u").alias("v"), F.col("w").alias("to"), F.lit(1.0).alias("weight"), F.col("bu").alias("here"), F.col("bw").alias("there"))
+    ahead = bands.by_band(forward, "here")
+    one = result.settled(0, 0).filter("dist = 0").select(*who, "v", F.lit(1.0).alias("s"))
+    flow_schema = one.schema
+    counts = _sweep(numbers, lambda k: one if k == 0 else one.limit(0), ahead, flow_schema, who)
+    total = lambda flows, base: (
+        base.unionByName(bands.read(spark, flow_schema, [f for some in flows.values() for f in some]).select(*who, "v", "s"))
+        .groupBy(*who, "v").agg(F.sum("s").alias("s"))
+    )
+    paths = cut(total(counts, one))
+    shares = cut(
+        dag.join(paths.select(*who, F.col("v").alias("u"), F.col("s").alias("su")), [*who, "u"])
+        .join(paths.select(*who, F.col("v").alias("w"), F.col("s").alias("sw")), [*who, "w"])
+        .select(*who, F.col("w").alias("v"), F.col("u").alias("to"), (F.col("su") / F.col("sw")).alias("weight"), F.col("bw").alias("here"), F.col("bu").alias("there"), "id")
     )
-    return edges.join(passed, [*keys, "id"], "left").fillna({"bwness": 0.0})
-
-
-def reroute(paths: DataFrame, pairs: DataFrame, edges_left: DataFrame, removed: DataFrame) -> DataFrame:
-    """New routes for the pairs whose path uses a removed link.
-
-    ``paths`` (vid_o, vid_d, edge_id, hop) are the routes before, ``pairs``
-    (vid_o, vid_d, n_ods, d) their lengths; the result is ``pairs`` with the lengths after,
-    plus ``changed`` for the pairs that were routed anew.
+    behind = bands.by_band(shares.drop("id"), "here")
+    ends = lambda first=0, last=None: result.settled(first, last).filter("v <> o").select(*who, "v", F.lit(1.0).alias("s"))
+    gains = _sweep(numbers[::-1], lambda k: ends(k, k), behind, flow_schema, who)
+    parts = total(gains, ends()).join(shares, [*who, "v"]).groupBy(*keys, "id").agg(F.sum(F.col("s") * F.col("weight")).alias("part"))
+    path, _ = stored(parts)
+    for table in (dag, paths, shares):
+        discard(table)
+    for folder in {f.rsplit("/at=", 1)[0] for flows in (counts, gains) for some in flows.values() for f in some}:
+        remove(spark, folder)
+    for bandwise in (ahead, behind):
+        for part in bandwise.values():
+            remove(spark, part.path)
+    result.discard()
+    return path
+
+
+@dataclass
+class Repair:
+    """Routes after links were removed."""
+
+    routes: Routes
+    hit: DataFrame  # (keys, vid_o, vid_d) of the pairs that were routed anew
+    touched: dict[str, int]  # rows taken out of the trees, put in again, and written while searching
+
+
+def repair(routes: Routes, edges_left: DataFrame, removed: DataFrame) -> Repair:
+    """The routes without the ``removed`` links (keys, id), mended where they were broken.
+
+    The nodes below a removed link in a tree are found by doubling up the tree.  They lose their distances; all others keep
+    theirs, as their own path is whole and nothing gets shorter.  Where a destination of the origin is among the lost nodes, the
+    search starts again from the links that lead out of what is left, and spreads over what has no distance.
+    A kept node keeps its link: it was the least of those that lie on shortest paths, and no new ones come up.
     """
-    hit = paths.join(removed.select(F.col("id").alias("edge_id")), "edge_id", "left_semi").select("vid_o", "vid_d").distinct()
-    hit = cut(hit)
-    again = pair_distances(pairs.join(hit, ["vid_o", "vid_d"], "left_semi").drop("d"), edges_left)
-    kept = pairs.join(hit, ["vid_o", "vid_d"], "left_anti")
-    return kept.withColumn("changed", F.lit(False)).unionByName(again.withColumn("changed", F.lit(True)))
+    keys, who = routes.keys, routes.who
+    gone = removed.select(*[k for k in keys if k in removed.columns], F.col("id").alias("edge_id"))
+    lost = cut(routes.tree.join(gone, gone.columns, "left_semi").select(*who, "v"))
+    for rung in routes.ladder():  # after rung k: all that lie less than 2^(k + 1) links below
+        lower = rung.join(lost.withColumnRenamed("v", "a"), [*who, "a"], "left_semi").select(*who, "v")
+        before, lost = lost, cut(lost.unionByName(lower).distinct())
+        discard(before)
+    ends = routes.pairs.select(*keys, F.col("vid_o").alias("o"), F.col("vid_d").alias("v")).distinct()
+    hit = cut(ends.join(lost, [*who, "v"], "left_semi").select(*keys, F.col("o").alias("vid_o"), F.col("v").alias("vid_d")))
+    origins = hit.select(*keys, F.col("vid_o").alias("o")).distinct()
+    whole = cut(routes.state.join(lost, [*who, "v"], "left_anti"))
+    kept = cut(whole.join(origins, who, "left_semi"))
+    arcs = arc_table(edges_left, keys)
+    plain = _Arcs(arcs, keys)
+    out = plain.follow(kept).select(*who, F.col("w").alias("v"), (F.col("dist") + F.col("len")).alias("dist"))
+    seeds = cut(out.join(kept.select(*who, "v"), [*who, "v"], "left_anti").groupBy(*who, "v").agg(F.min("dist").alias("dist")))
+    result = bands.search(hit, _Arcs(shortcuts(arcs, keys), keys), keys, seeds=seeds, known=kept)
+    mended = cut(bands.within_reach(result))
+    result.discard()
+    around = kept.unionByName(mended)
+    tree = cut(routes.tree.join(lost, [*who, "v"], "left_anti").unionByName(_links_into(mended, around, plain, who)))
+    touched = {"lost": lost._rows, "mended": mended._rows, "written": sum(n for _, n, _ in result.rounds)}
+    return Repair(Routes.of(routes.pairs, keys, whole.unionByName(mended), tree), hit, touched)
+
+
+def reroute(routes: Routes, edges_left: DataFrame, removed: DataFrame, paths: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Lengths and paths after the ``removed`` links are gone.
+
+    The first are the pairs with their length ``d`` after, and ``changed`` for those that were routed anew (pairs without a route drop);
+    the second (keys, vid_o, vid_d, edge_id, hop) carries on the ``paths`` before of all others.
+    """
+    done = repair(routes, edges_left, removed)
+    on = [*routes.keys, "vid_o", "vid_d"]
+    anew = done.hit.withColumn("_anew", F.lit(True))
+    lengths = done.routes.lengths().join(anew, on, "left").withColumn("changed", F.coalesce("_anew", F.lit(False))).drop("_anew")
+    before = routes.paths() if paths is None else paths
+    kept = before.join(done.hit, on, "left_anti")
+    some = done.hit.select(*routes.keys, F.col("vid_o").alias("o")).distinct()
+    mended = Routes.of(done.hit, routes.keys, done.routes.state, cut(done.routes.tree.join(some, routes.who, "left_semi")))
+    return lengths, kept.unionByName(mended.paths())
+
+
+def _links_into(nodes: DataFrame, around: DataFrame, plain: _Arcs, who: Sequence[str]) -> DataFrame:
+    """(keys, o, v, edge_id, p): of the links over which ``around`` reaches each of the nodes at its distance, that of the least id."""
+    who = list(who)
+    came = plain.follow(around.select(*who, "v", "dist")).select(
+        *who, F.col("w").alias("v"), (F.col("dist") + F.col("len")).alias("dist"), F.struct("id", "u").alias("via")
+    )
+    best = came.join(nodes.select(*who, "v", "dist"), [*who, "v", "dist"]).groupBy(*who, "v").agg(F.min("via").alias("via"))
+    return best.select(*who, "v", F.col("via.id").alias("edge_id"), F.col("via.u").alias("p")).filter("v <> o")

@@ -172,6 +172,40 @@ def nearest(points: DataFrame, pieces: DataFrame, key: str, distance: str = "dis
     return skew_join(points, found, on).select(*keyed, key, distance)
 
 
+def nearest_to_lines(lines: DataFrame, pieces: DataFrame, line: str, key: str, distance: str = "dist", cell: float = 1.0) -> DataFrame:
+    """(line, key, distance): for each line the nearest piece, by the least distance between any two points of them.
+
+    ``lines`` (line, x1, y1, x2, y2) and ``pieces`` (key, x1, y1, x2, y2) are straight pieces, several of which may share one
+    name.  Lines that meet a piece have distance 0; of equally near keys the least wins.  The search grows its radius as
+    ``nearest`` does, and only for the lines that found nothing yet.  Pieces without finite coordinates are left out.
+    """
+    corners = ("x1", "y1", "x2", "y2")
+    placed = functools.reduce(Column.__and__, [F.col(c) - F.col(c) == 0 for c in corners])
+    box = {"minx": F.min("minx"), "miny": F.min("miny"), "maxx": F.max("maxx"), "maxy": F.max("maxy")}
+    targets = pieces.filter(placed).groupBy(*corners).agg(F.min(key).alias(key))
+    targets, seen = counted_cut(with_box(targets, piece_box()), **box)
+    probes = with_box(lines.filter(placed).select(line, *corners), piece_box())
+    probes, own = counted_cut(probes.withColumnsRenamed({c: f"_{c}" for c in corners}), **box)
+    if not seen["n"] or not own["n"]:
+        return probes.select(line).limit(0).join(targets.select(key, F.lit(0.0).alias(distance)).limit(0), F.lit(True))
+    extent = math.hypot(*[max(seen[f"max{c}"], own[f"max{c}"]) - min(seen[f"min{c}"], own[f"min{c}"]) for c in "xy"])
+    radius = start_radius(targets, max(extent, cell), cell)
+    d = G.piece_distance([F.col(f"_{c}") for c in corners], [F.col(c) for c in corners])
+    found, left = None, own["n"]
+    while left:
+        wide = probes.withColumns({"minx": F.col("minx") - radius, "miny": F.col("miny") - radius, "maxx": F.col("maxx") + radius, "maxy": F.col("maxy") + radius})
+        wide._rows = known_rows(probes)
+        near = box_join(wide, targets, d <= radius, radius * 2)
+        best, seen = counted_cut(
+            near.groupBy(line).agg(F.min(F.struct(d.alias(distance), F.col(key))).alias("_best")).select(line, f"_best.{key}", f"_best.{distance}")
+        )
+        found = best if found is None else found.unionByName(best)
+        probes, own = counted_cut(probes.join(best, line, "left_anti"))
+        left = own["n"]
+        radius *= 2 if seen["n"] else 8
+    return found
+
+
 def start_radius(targets: DataFrame, extent: float, cell: float) -> float:
     """A radius whose cells hold at most _BUSY_CELL pieces each, measured on all powers of two in one pass."""
     steps = max(int(math.ceil(math.log2(extent / cell))), 0) + 1

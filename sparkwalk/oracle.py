@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from sparkwalk.fixtures import ctes
 
 VE = """ve as (
@@ -30,6 +32,29 @@ SP = """sp(variant, o, v, d) using key (variant, o, v) as (
    left join recurring.sp r on r.variant = s.variant and r.o = s.o and r.v = a.w
    where r.d is null or s.d + a.len < r.d group by 1, 2, 3)
 )"""
+# The same in two parts: all origins as far as NEAR millimetres, and those with a destination beyond it to the end.
+NEAR = 2_500_000
+SP_FAR = f"""near(variant, o, v, d) using key (variant, o, v) as (
+  select distinct variant, vid_o, vid_o, cast(0 as bigint) from pairs
+  union
+  (select s.variant, s.o, a.w, min(s.d + a.len) from near s join arcs a on a.variant = s.variant and a.u = s.v and s.d + a.len <= {NEAR}
+   left join recurring.near r on r.variant = s.variant and r.o = s.o and r.v = a.w
+   where r.d is null or s.d + a.len < r.d group by 1, 2, 3)
+),
+late as (
+  select distinct p.variant, p.vid_o from pairs p left join near n on n.variant = p.variant and n.o = p.vid_o and n.v = p.vid_d where n.d is null
+),
+far(variant, o, v, d) using key (variant, o, v) as (
+  select variant, vid_o, vid_o, cast(0 as bigint) from late
+  union
+  (select s.variant, s.o, a.w, min(s.d + a.len) from far s join arcs a on a.variant = s.variant and a.u = s.v
+   left join recurring.far r on r.variant = s.variant and r.o = s.o and r.v = a.w
+   where r.d is null or s.d + a.len < r.d group by 1, 2, 3)
+),
+sp as (
+  select * from far union all
+  select n.* from near n left join late l on l.variant = n.variant and l.vid_o = n.o where l.vid_o is null
+)"""
 PRED = """pred as (
   select s.variant, s.o, a.w v, min({'id': a.id, 'p': a.u}) b
   from sp s join arcs a on a.variant = s.variant and a.u = s.v
@@ -53,7 +78,7 @@ sp(variant, o, v, d) using key (variant, o, v) as (
    left join recurring.sp r on r.variant = s.variant and r.o = s.o and r.v = a.w
    where r.d is null or s.d + a.len < r.d group by 1, 2, 3)
 ),
-dag as (
+dag as materialized (
   select s.o, a.u, a.w, a.id from sp s join arcs a on a.u = s.v join sp t on t.o = s.o and t.v = a.w and t.d = s.d + a.len
 ),
 fwd(k, o, v, s) as (
@@ -62,7 +87,7 @@ fwd(k, o, v, s) as (
   (select k + 1, f.o, g.w, sum(f.s) from fwd f join dag g on g.o = f.o and g.u = f.v group by 1, 2, 3)
 ),
 sigma as (select o, v, sum(s) s from fwd group by 1, 2),
-share as (select g.o, g.u, g.w, g.id, a.s / b.s share from dag g join sigma a on a.o = g.o and a.v = g.u join sigma b on b.o = g.o and b.v = g.w),
+share as materialized (select g.o, g.u, g.w, g.id, a.s / b.s share from dag g join sigma a on a.o = g.o and a.v = g.u join sigma b on b.o = g.o and b.v = g.w),
 back(k, o, v, x) as (
   select 0, o, v, cast(1 as double) from sp where o <> v
   union all
@@ -320,6 +345,18 @@ union all select id, cast(ceil(n / step_size) + 1 as int) from scored, setting,
     "poi_tags": _with(SHOPS)
     + """select 'way' element_type, odpt_id osmid, t.category || ' ' || (odpt_id % 5) subcategory, t.category, round(x + 2, 3) x, round(y + 2, 3) y
 from shops join (values ('amenity', 2), ('healthcare', 7), ('leisure', 3), ('office', 5), ('shop', 4)) t(category, every) on odpt_id % every = 0""",
+    "mixed_poi_points": _with(
+        SPOTS,
+        """moved as (select *, odpt_id % 6 k from spots),
+mids as (
+  select odpt_id, x + case k when 0 then 0 when 1 then 750 / 40.0e0 when 2 then (64 * 4 - 4 * 2) / 60.0e0 when 3 then 2.5e0
+    when 4 then (10 * 5 + 30 * 20) / 40.0e0 else (4 * 1 + 16 * 12) / 20.0e0 end x,
+  y + case k when 0 then 0 when 1 then 50 / 40.0e0 when 2 then (64 * 4 - 4 * 2) / 60.0e0 when 3 then 0.5e0
+    when 4 then (30 * 15) / 40.0e0 else (4 * 1 + 16 * 2) / 20.0e0 end y from moved
+)""",
+    )
+    + """select cast(odpt_id as bigint) osmid, t.category || ' ' || (odpt_id % 5) subcategory, t.category, round(x, 3) x, round(y, 3) y
+from mids join (values ('amenity', 2), ('healthcare', 7), ('leisure', 3), ('office', 5), ('shop', 4)) t(category, every) on odpt_id % every = 0""",
     "building_centroids": _with(ctes("net_nodes"))
     + "select vid osmid, 'yes' kind, round(x_mm + 2200.0, 3) x, round(y_mm + 2200.0, 3) y from net_nodes",
     "line_measures": _with(ctes("net_edges", "net_nodes"), LINES)
@@ -396,8 +433,14 @@ from l join v a on a.x = x1 and a.y = y1 join v b on b.x = x2 and b.y = y2""",
     + "select a.id, a.b.x x1, a.b.y y1, c.b.x x2, c.b.y y2 from hit a join hit c on c.id = a.id and a.k = 1 and c.k = 2",
     "nearest_road": _with(
         ctes("street_roads", "street_crosswalks"),
-        "mid as (select id, (x1 + x2) / 2 x, (y1 + y2) / 2 y from street_crosswalks)",
-        f"hit as (select m.id, min({{'d': {_piece('m.x', 'm.y', 'r')}, 'id': r.id}}) b from mid m join street_roads r on true group by 1)",
+        # crosswalks and roads are level or upright here: two boxes, one of them thin, meet if the lines do
+        f"""near as (
+  select c.id, r.id road_id, case when least(c.x1, c.x2) <= greatest(r.x1, r.x2) and least(r.x1, r.x2) <= greatest(c.x1, c.x2)
+    and least(c.y1, c.y2) <= greatest(r.y1, r.y2) and least(r.y1, r.y2) <= greatest(c.y1, c.y2) then 0.0 else least(
+    {_piece('c.x1', 'c.y1', 'r')}, {_piece('c.x2', 'c.y2', 'r')}, {_piece('r.x1', 'r.y1', 'c')}, {_piece('r.x2', 'r.y2', 'c')}) end d
+  from walks c join street_roads r on true
+)""".replace("near as", "walks as (select id, x1 + 3 x1, y1 + case when id % 16 = 0 then 9 else 0 end y1, x2 + 3 x2, y2 + case when id % 16 = 0 then 9 else 0 end y2 from street_crosswalks),\nnear as"),
+        "hit as (select id, min({'d': d, 'id': road_id}) b from near group by 1)",
     )
     + "select id, b.id road_id, round(b.d, 6) dist from hit",
     "part_flags": """select p_partkey, coalesce(p_brand = 'Brand#13', false) is_brand, coalesce(p_size in (1, 5, 24), false) is_size from part""",
@@ -415,6 +458,12 @@ select string_agg(cast(c.id as varchar), ',' order by c.id), -1, false, t.a, t.b
     "edges_by_component": _with(ctes("net_edges"), VE, ARCS, CC, recursive=True)
     + "select e.variant, cid, count(*) n_edges, cast(sum(len) as bigint) len from ve e join cc on cc.variant = e.variant and vid = src_vid group by 1, 2",
     "trips_connected": _graph(PAIRS) + "select variant, cast(sum(n_ods) as bigint) n_trips from pairs group by 1",
+    "shortest_distances": _graph(PAIRS, SP_FAR)
+    + "select p.variant, vid_o, vid_d, n_ods, d from pairs p join sp on sp.variant = p.variant and o = vid_o and v = vid_d",
+    "shortest_paths": _graph(PAIRS, SP_FAR, PRED, WALK) + "select variant, vid_o, vid_d, edge_id, hop from walk",
+    "edge_trips": _graph(PAIRS, SP_FAR, PRED, WALK)
+    + """select e.variant, e.id, cast(coalesce(sum(w.n_ods), 0) as bigint) n_trips from ve e
+left join walk w on w.variant = e.variant and w.edge_id = e.id group by 1, 2""",
     "shortest_distances_current": _graph_current(PAIRS, SP)
     + "select vid_o, vid_d, n_ods, d from pairs p join sp on sp.variant = p.variant and o = vid_o and v = vid_d",
     "shortest_paths_current": _graph_current(PAIRS, SP, PRED, WALK) + "select vid_o, vid_d, edge_id, hop from walk",
@@ -423,6 +472,8 @@ select string_agg(cast(c.id as varchar), ',' order by c.id), -1, false, t.a, t.b
 left join walk w on w.variant = e.variant and w.edge_id = e.id group by 1""",
     "betweenness_current": _with(ctes("net_edges"), VE_CURRENT, ARCS, BETWEEN, recursive=True)
     + "select e.id, round(coalesce(bwness, 0), 4) bwness from ve e left join bw using (id)",
+    "betweenness_sidewalks": _with(ctes("net_edges"), VE_CURRENT.replace("where exists_", "where exists_ or not is_xwalk"), ARCS, BETWEEN, recursive=True)
+    + "select e.id, round(coalesce(bwness, 0), 4) bwness from ve e left join bw using (id)",
     "pedscore_current": _with(
         ctes("net_edges", "od"), VE_CURRENT, ARCS, CC, PAIRS, BETWEEN, PRED, WALK,
         "used as (select edge_id id, sum(n_ods) n from walk group by 1)", recursive=True,
@@ -431,6 +482,10 @@ left join walk w on w.variant = e.variant and w.edge_id = e.id group by 1""",
 from ve e left join bw using (id) left join used using (id)""",
     "rerouted": _with(ctes("net_edges", "od"), SCORED, DIST_STEPS, recursive=True)
     + "select vid_o, vid_d, n_ods, d from step_dist where step = 1",
+    "rerouted_paths": _with(
+        ctes("net_edges", "od"), SCORED, re.sub(r"dsteps as .*? step\)", "dsteps as (select 1 step)", DIST_STEPS), PRED, WALK, recursive=True
+    )
+    + "select vid_o, vid_d, edge_id, hop from walk",
     "links_vs_trips": _with(ctes("net_edges", "od"), SCORED, TRIPS_STEPS, CC, TRIPS_CURVE, recursive=True)
     + "select n_links, round(pct_links, 6) pct_links, round(pct_new_trips, 6) pct_new_trips, length, n_trips from curve",
     "distance_steps": _with(ctes("net_edges", "od"), SCORED, DIST_STEPS, recursive=True)
@@ -458,13 +513,3 @@ from ve e left join bw using (id) left join used using (id)""",
     + """select eid, case when exists_ then 'Existing' else 'Proposed' end || case when is_xwalk then ' crosswalk' else ' sidewalk' end category,
   round(len, 3) len from lines join net_edges on id = eid""",
 }
-
-# Correct, but slow on large tables (every origin meets every node): for tests on the smallest ones.
-SLOW: dict[str, str] = {
-    "shortest_distances": _graph(PAIRS, SP)
-    + "select p.variant, vid_o, vid_d, n_ods, d from pairs p join sp on sp.variant = p.variant and o = vid_o and v = vid_d",
-    "shortest_paths": _graph(PAIRS, SP, PRED, WALK) + "select variant, vid_o, vid_d, edge_id, hop from walk",
-    "edge_trips": _graph(PAIRS, SP, PRED, WALK)
-    + """select e.variant, e.id, cast(coalesce(sum(w.n_ods), 0) as bigint) n_trips from ve e
-left join walk w on w.variant = e.variant and w.edge_id = e.id group by 1, 2""",
-}

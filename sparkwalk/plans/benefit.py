@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from sparkwalk.functions.scalar import METRES_PER_MILE
 from sparkwalk.operators.components import connected_components
+from sparkwalk.operators.bands import found
 from sparkwalk.operators.ranking import batches, interpolate_gaps, running
 from sparkwalk.operators.routing import arc_table, distances
 from sparkwalk.operators.skew import skew_join
@@ -156,10 +157,10 @@ def distance_profile(pairs: DataFrame, edges: DataFrame, last: int) -> DataFrame
     arcs = cut(arc_table(edges, carry=["gone_at"]))
 
     def route(asked: DataFrame) -> DataFrame:
-        state = distances(asked, arcs, scenario=["step"], usable="gone_at > step", carry=["gone_at"])
-        return cut(
-            state.filter("is_target").select("step", F.col("o").alias("vid_o"), F.col("v").alias("vid_d"), F.col("dist").alias("d"))
-        )
+        result = distances(asked, arcs, scenario=["step"], usable="gone_at > step", carry=["gone_at"])
+        out = cut(found(result).select("step", F.col("o").alias("vid_o"), F.col("v").alias("vid_d"), F.col("dist").alias("d")))
+        result.discard()
+        return out
 
     ends = pairs.select("vid_o", "vid_d").distinct()
     known = route(ends.withColumn("step", F.explode(F.array_distinct(F.array(F.lit(0), F.lit(last))))))

@@ -194,12 +194,10 @@ def base_network(sidewalks: DataFrame, crosswalks: DataFrame, candidates: DataFr
 
 
 def nearest_road(crosswalks: DataFrame, roads: DataFrame) -> DataFrame:
-    """Crosswalks with ``road_id``, the road nearest to the middle of each."""
-    shape = F.col("geometry")
-    mid = G.point_along(shape, G.length(shape) / 2)
-    spots = crosswalks.withColumn("_p", mid).select("*", "_p.x", "_p.y").drop("_p")
+    """Crosswalks with ``road_id``, the road nearest to the whole line of each (0 if they meet; then the least id)."""
+    lines = G.explode_segments(crosswalks.select(F.col("id"), "geometry"), "geometry")
     pieces = G.explode_segments(roads.select(F.col("id").alias("road_id"), "geometry"), "geometry")
-    return spatial.nearest(spots, pieces, "road_id", "road_dist").drop("x", "y")
+    return crosswalks.join(spatial.nearest_to_lines(lines, pieces, "id", "road_id", "road_dist"), "id")
 
 
 def snap_crosswalks(crosswalks: DataFrame, sidewalks: DataFrame) -> DataFrame:

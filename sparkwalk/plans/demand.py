@@ -8,7 +8,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from sparkwalk.functions import geometry as G
 from sparkwalk.functions.scalar import clip, geoid, haversine_m, stops_along
@@ -22,16 +22,22 @@ from sparkwalk.session import counted_cut, cut
 POI_TAGS = ("amenity", "healthcare", "leisure", "office", "shop")
 
 
+def _middle(shapes: DataFrame) -> Column:
+    """Centroid of the geometry column, a polygon or a SHAPE of any kind."""
+    mixed = isinstance(shapes.schema["geometry"].dataType, T.StructType)
+    return G.shape_centroid(F.col("geometry")) if mixed else G.centroid(F.col("geometry"))
+
+
 def building_points(shapes: DataFrame, kind: str = "building") -> DataFrame:
-    """Building polygons to centroids: (osmid, element_type, kind, x, y)."""
-    return shapes.select("osmid", "element_type", F.col(kind).alias("kind"), G.centroid(F.col("geometry")).alias("p")).select(
+    """Buildings (polygons, or SHAPEs of any kind) to centroids: (osmid, element_type, kind, x, y)."""
+    return shapes.select("osmid", "element_type", F.col(kind).alias("kind"), _middle(shapes).alias("p")).select(
         "osmid", "element_type", "kind", "p.x", "p.y"
     )
 
 
 def poi_points(shapes: DataFrame, tags: Sequence[str] = POI_TAGS) -> DataFrame:
-    """Tagged polygons to one centroid row per non-null tag: (element_type, osmid, subcategory, category, x, y)."""
-    spots = shapes.withColumn("p", G.centroid(F.col("geometry"))).select("element_type", "osmid", "p.x", "p.y", *tags)
+    """Tagged features (polygons, or SHAPEs of any kind) to one centroid row per non-null tag: (element_type, osmid, subcategory, category, x, y)."""
+    spots = shapes.withColumn("p", _middle(shapes)).select("element_type", "osmid", "p.x", "p.y", *tags)
     return tags_long(spots, tags, ["element_type", "osmid", "x", "y"])
 
 

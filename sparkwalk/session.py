@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
@@ -57,15 +58,21 @@ def counted_cut(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
     take only the columns they need, and the planner sees its true size.  Also returns the
     row count ``n`` and the given aggregates, taken while the rows are written.
     """
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}"
+    path, seen = stored(df, **metrics)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    out._rows = seen["n"]
+    return out, seen
+
+
+def stored(df: DataFrame, by: Sequence[str] = (), **metrics: Column) -> tuple[str, dict]:
+    """Write ``df`` to a new folder, a subfolder for each value of ``by``; its path, row count ``n`` and the given aggregates."""
+    path = f"{checkpoint_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     seen = Observation()
     aggs = {"n": F.count(F.lit(1))} | metrics
-    df.observe(seen, *[e.alias(n) for n, e in aggs.items()]).write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._stored_at = path
-    out._rows = seen.get["n"]
-    return out, seen.get
+    out = df.observe(seen, *[e.alias(n) for n, e in aggs.items()]).write
+    (out.partitionBy(*by) if by else out).parquet(path)
+    return path, seen.get
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -81,6 +88,11 @@ def discard(df: DataFrame) -> None:
     """Delete the stored table of an earlier round, once nothing reads it any more."""
     path = getattr(df, "_stored_at", None)
     if path is not None:
-        sc = df.sparkSession.sparkContext
-        where = sc._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+        remove(df.sparkSession, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that ``stored`` wrote, or a part of it."""
+    sc = spark.sparkContext
+    where = sc._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)

@@ -201,6 +201,33 @@ def poi_tags(spark, d):
     )
 
 
+@query
+def mixed_poi_points(spark, d):
+    """A file of points, lines, polygons with holes and multi-part shapes, read in one pass to a point per feature and tag."""
+    p = lambda dx, dy: G.point(F.col("x") + dx, F.col("y") + dy)
+    square = lambda at, size: F.array(*[p(at + a * size, b * size) for a, b in ((0, 0), (1, 0), (1, 1), (0, 1), (0, 0))])
+    shapes = {
+        "Point": F.array(F.array(F.array(p(0, 0)))),
+        "LineString": F.array(F.array(F.array(p(0, 0), p(30, 0), p(30, 10)))),
+        "Polygon": F.array(F.array(square(0, 8), F.transform(square(1, 2), lambda q: G.point(q["x"], q["y"] + 1)))),
+        "MultiPoint": F.array(F.array(F.array(p(0, 0))), F.array(F.array(p(5, 1)))),
+        "MultiLineString": F.array(F.array(F.array(p(0, 0), p(10, 0))), F.array(F.array(p(20, 0), p(20, 30)))),
+        "MultiPolygon": F.array(F.array(square(0, 2)), F.array(square(10, 4))),
+    }
+    shape = None
+    for i, (kind, parts) in enumerate(shapes.items()):
+        made, own = F.struct(F.lit(kind).alias("kind"), parts.alias("parts")), F.col("osmid") % len(shapes) == i
+        shape = F.when(own, made) if shape is None else shape.when(own, made)
+    spots = _spots(spark, d).withColumnRenamed("odpt_id", "osmid")
+    tag = lambda name, every: F.when(F.col("osmid") % every == 0, F.concat(F.lit(name + " "), F.col("osmid") % 5)).alias(name)
+    rows = spots.select(F.lit("way").alias("element_type"), "osmid", *[tag(n, k) for n, k in zip(demand.POI_TAGS, (2, 7, 3, 5, 4))], shape.alias("geometry"))
+    path = f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}"
+    features.write_shapes(rows, path)
+    back = features.read_shapes(spark, path, "element_type string, osmid bigint, " + ", ".join(f"{n} string" for n in demand.POI_TAGS))
+    out = demand.poi_points(back)
+    return out.select("osmid", "subcategory", "category", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
+
+
 @query
 def building_centroids(spark, d):
     """L-shaped buildings around every node."""
@@ -394,8 +421,11 @@ def snapped_crosswalks(spark, d):
 
 @query
 def nearest_road(spark, d):
+    """Whole crosswalks, half of them pushed off their road."""
     roads, _, known = _streets(spark, d)
-    return crosswalks.nearest_road(known, roads).select("id", "road_id", F.round("road_dist", 6).alias("dist"))
+    off = F.when(F.col("id") % 16 == 0, 9.0).otherwise(0.0)
+    moved = known.withColumn("geometry", F.transform("geometry", lambda p: G.point(p["x"] + 3, p["y"] + off)))
+    return crosswalks.nearest_road(moved, roads).select("id", "road_id", F.round("road_dist", 6).alias("dist"))
 
 
 @query
@@ -502,6 +532,14 @@ def betweenness_current(spark, d):
     return out.select("id", F.round("bwness", 4).alias("bwness"))
 
 
+@query
+def betweenness_sidewalks(spark, d):
+    """The same on a network whose parts hang together: every node is an origin that reaches nearly all others."""
+    edges = network(spark, d).filter("`exists` or not is_xwalk")
+    out = routing.edge_betweenness(edges, batches=2)
+    return out.select("id", F.round("bwness", 4).alias("bwness"))
+
+
 @query
 def pedscore_current(spark, d):
     edges = _current(spark, d)
@@ -512,15 +550,22 @@ def pedscore_current(spark, d):
     return out.select("id", "n_trips", F.round(pedscore(F.col("n_trips"), F.col("bwness")), 6).alias("pedscore"))
 
 
-@query
-def rerouted(spark, d):
-    """Crosswalk network: lengths after its worst-scored new links are removed at once."""
+def _rerouted(spark, d):
+    """Crosswalk network after its worst-scored new links are removed at once."""
     low, high = _scored(spark, d)
     pairs = cut(routing.routable_pairs(_od(spark, d), cut(connected_components(low))))
-    routes = routing.Routes(pairs, high)
     edges, _, _ = benefit.removal_steps(low, high, _interval(spark, d))
-    out = routing.reroute(routes.paths(), routes.lengths(), edges.filter("gone_at > 1"), edges.filter("gone_at = 1"))
-    return out.select("vid_o", "vid_d", "n_ods", "d")
+    return routing.reroute(routing.Routes(pairs, high), edges.filter("gone_at > 1"), edges.filter("gone_at = 1"))
+
+
+@query
+def rerouted(spark, d):
+    return _rerouted(spark, d)[0].select("vid_o", "vid_d", "n_ods", "d")
+
+
+@query
+def rerouted_paths(spark, d):
+    return _rerouted(spark, d)[1].select("vid_o", "vid_d", "edge_id", "hop")
 
 
 # ---------------------------------------------------------------- benefit

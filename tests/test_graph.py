@@ -7,7 +7,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from sparkwalk.operators import components, routing
+from sparkwalk.operators import bands, components, routing
 from sparkwalk.operators.components import connected_components
 from sparkwalk.operators.contract import contract_chains
 from sparkwalk.plans import benefit
@@ -82,6 +82,59 @@ def test_trips_times_length(routed):
     assert sum(r.n_trips * by_id[r.id][3] for r in routes.edge_trips().collect()) == sum(n * full[o][d] for o, d, n in pairs)
 
 
+@pytest.mark.parametrize("width", [2, 7, 1000])
+def test_bands_of_any_width(spark, width):
+    """Few rows are written twice, and never those of a closed band."""
+    edges = [(2 * i, i, i + 1, 1 + i % 4) for i in range(200) if i % 20 < 19] + [(2 * i + 1, i, i + 20, 1 + i % 3) for i in range(180)] + [(999, 300, 301, 1)]
+    want = {s: dijkstra(edges, s) for s in (0, 17, 100)}
+    arcs = routing.arc_table(spark.createDataFrame(edges, EDGE))
+    half = sorted(want[0], key=want[0].get)[len(want[0]) // 2]
+    some = [(0, half), (17, max(want[17])), (17, 17), (17, 4000)]
+    result = routing.distances(spark.createDataFrame([(100, None), *some], "vid_o int, vid_d int"), arcs, width=width)
+    got = {(r.o, r.v): r.dist for r in result.settled().collect()}
+    assert all(want[o][v] == d for (o, v), d in got.items())
+    assert {v: d for (o, v), d in got.items() if o == 100} == want[100] and {v: d for (o, v), d in got.items() if o == 17} == want[17]
+    assert {(r.o, r.v) for r in bands.found(result).collect()} == set(some[:3])
+    near = {(o, v) for o, v in got if o == 0}
+    assert len(near) == len([v for v, d in want[0].items() if d // width <= want[0][half] // width])  # given up after that band
+    assert sum(n for _, _, n in result.bands) == len(got)
+    final = {k: n for k, _, n in result.bands}
+    assert all(own <= final.get(k, 0) for k, _, own in result.rounds)  # of settled nodes a round writes those of its band only
+    if width < 1000:
+        assert sum(n for _, n, _ in result.rounds) < len(result.rounds) * len(got) / 3
+
+
+def test_routes_are_mended(spark):
+    """As if routed anew: lengths, paths and usage, one removal after another."""
+    edges, left = graph(n=60, m=110, seed=8), None
+    pairs = [(o, d, 1 + o % 3) for o in labels(edges) for d in labels(edges) if (o + 3 * d) % 7 == 0]
+    df = spark.createDataFrame(pairs, "vid_o int, vid_d int, n_ods bigint")
+    routes, paths = routing.Routes(df, spark.createDataFrame(edges, EDGE)), None
+    for gone in ({3, 40, 77}, {5, 6, 61, 80, 99}):
+        left = [e for e in left or edges if e[0] not in gone]
+        links = spark.createDataFrame(left, EDGE)
+        removed = spark.createDataFrame([(i,) for i in gone], "id int")
+        done = routing.repair(routes, links, removed)
+        lengths, paths = routing.reroute(routes, links, removed, paths)
+        paths = paths.cache()
+        anew = routing.Routes(df, links)
+        rows = lambda f, *c: sorted(map(tuple, f.select(*c).collect()))
+        assert rows(lengths, "vid_o", "vid_d", "n_ods", "d") == rows(anew.lengths(), "vid_o", "vid_d", "n_ods", "d")
+        assert rows(paths, "vid_o", "vid_d", "edge_id", "hop") == rows(anew.paths(), "vid_o", "vid_d", "edge_id", "hop")
+        assert rows(done.routes.edge_trips(), "id", "n_trips") == rows(anew.edge_trips(), "id", "n_trips")
+        assert {r[:2] for r in rows(lengths.filter("changed"), "vid_o", "vid_d")} <= set(rows(done.hit, "vid_o", "vid_d"))
+        assert done.touched["mended"] <= done.touched["lost"] < routes.state.count() / 2
+        routes = done.routes
+
+
+def test_removals_that_touch_no_path(spark):
+    edges = [(0, 1, 2, 5), (1, 2, 3, 5), (2, 1, 3, 50)]
+    routes = routing.Routes(spark.createDataFrame([(1, 3, 2)], "vid_o int, vid_d int, n_ods bigint"), spark.createDataFrame(edges, EDGE))
+    lengths, paths = routing.reroute(routes, spark.createDataFrame(edges[:2], EDGE), spark.createDataFrame([(2,)], "id int"))
+    assert [tuple(r) for r in lengths.select("vid_o", "vid_d", "d", "changed").collect()] == [(1, 3, 10, False)]
+    assert sorted((r.edge_id, r.hop) for r in paths.collect()) == [(0, 1), (1, 0)]
+
+
 def test_hubs_spread_over_salts(routed):
     _, _, _, df, _ = routed
     arcs = routing.arc_table(df)
@@ -106,8 +159,9 @@ def test_betweenness(spark):
                 part = paths[u] / paths[v] * (1 + gain[v])
                 gain[u] += part
                 want[i] += part / 2
-    got = {r.id: r.bwness for r in routing.edge_betweenness(spark.createDataFrame(edges, EDGE)).collect()}
-    assert got == pytest.approx({e[0]: want[e[0]] for e in edges})
+    for batches in (1, 7):
+        got = {r.id: r.bwness for r in routing.edge_betweenness(spark.createDataFrame(edges, EDGE), batches=batches).collect()}
+        assert got == pytest.approx({e[0]: want[e[0]] for e in edges})
 
 
 def test_first_connected_step(spark):
