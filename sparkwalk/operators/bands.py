@@ -97,7 +97,7 @@ def search(
     who = [*keys, *scenario, "o"]
     spark = pairs.sparkSession
     long = lambda v: F.lit(v).cast("bigint")
-    width = width or max(2 * net.mean, -(-net.longest // REACH), 1)
+    width = width or max(4 * net.mean, -(-net.longest // REACH), 1)
     back = -(-net.longest // width)  # bands below an open one in which its neighbours may be settled
 
     asked = pairs.select(
@@ -113,8 +113,12 @@ def search(
     # numbers of bands are columns, not literals, so every round runs the same compiled code
     band = F.call_function("div", F.col("dist"), long(width))
     first = live.select(*who, F.col("o").alias("v"), long(0).alias("dist")) if seeds is None else seeds.select(*who, "v", "dist")
-    start = by_band(first.withColumns({"reach": long(0), "fresh": F.lit(True), "_at": band}), "_at")
-    schema = first.withColumns({"reach": long(0), "fresh": F.lit(True)}).schema
+    first = first.withColumns({"reach": long(0), "fresh": F.lit(True)})
+    schema, n_origins = first.schema, seen["n"]
+    if seeds is None:
+        start = {0: Part(stored(first)[0], schema, n_origins)} if n_origins else {}
+    else:
+        start = by_band(first.withColumn("_at", band), "_at")
     out = Search(spark, who, schema, width)
     waiting: dict[int, list[str]] = {k: [part.path] for k, part in start.items()}
     most = {k: part.rows for k, part in start.items()}  # rows that wait for a band, at most

@@ -472,8 +472,6 @@ left join walk w on w.variant = e.variant and w.edge_id = e.id group by 1, 2""",
 left join walk w on w.variant = e.variant and w.edge_id = e.id group by 1""",
     "betweenness_current": _with(ctes("net_edges"), VE_CURRENT, ARCS, BETWEEN, recursive=True)
     + "select e.id, round(coalesce(bwness, 0), 4) bwness from ve e left join bw using (id)",
-    "betweenness_sidewalks": _with(ctes("net_edges"), VE_CURRENT.replace("where exists_", "where exists_ or not is_xwalk"), ARCS, BETWEEN, recursive=True)
-    + "select e.id, round(coalesce(bwness, 0), 4) bwness from ve e left join bw using (id)",
     "pedscore_current": _with(
         ctes("net_edges", "od"), VE_CURRENT, ARCS, CC, PAIRS, BETWEEN, PRED, WALK,
         "used as (select edge_id id, sum(n_ods) n from walk group by 1)", recursive=True,

@@ -532,14 +532,6 @@ def betweenness_current(spark, d):
     return out.select("id", F.round("bwness", 4).alias("bwness"))
 
 
-@query
-def betweenness_sidewalks(spark, d):
-    """The same on a network whose parts hang together: every node is an origin that reaches nearly all others."""
-    edges = network(spark, d).filter("`exists` or not is_xwalk")
-    out = routing.edge_betweenness(edges, batches=2)
-    return out.select("id", F.round("bwness", 4).alias("bwness"))
-
-
 @query
 def pedscore_current(spark, d):
     edges = _current(spark, d)
