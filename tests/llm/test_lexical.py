@@ -56,7 +56,7 @@ def odd():
 def test_odd_rows(monkeypatch, spark, small):
     docs, items = odd()
     if small:  # tiles of one or two terms, a block an item, heaps pruned all the time, rank windows salted, texts in pieces
-        for name, value in {"VOCABULARY": 60, "ITEMS": 2, "DOCUMENTS": 7, "COLUMNS": 2, "EXACT": 20_000 * 10**6, "RANKED": 30}.items():
+        for name, value in {"VOCABULARY": 250, "ITEMS": 2, "DOCUMENTS": 7, "COLUMNS": 2, "EXACT": 20_000 * 10**6, "RANKED": 30}.items():
             monkeypatch.setattr(lexical, name, value)
         monkeypatch.setattr(terms, "PIECE", 100)
     df = spark.createDataFrame([(k, t, 1, "x") for k, t in docs], SCHEMA).repartition(5)
