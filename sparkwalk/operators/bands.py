@@ -33,6 +33,7 @@ class Search:
     width: int
     bands: list[tuple[int, str, int]] = field(default_factory=list)  # number, folder, rows
     rounds: list[tuple[int, int, int]] = field(default_factory=list)  # band, rows written, rows of the band among them
+    targets: DataFrame | None = None  # (keys, scenario, o, v) that were asked for
 
     def settled(self, first: int = 0, last: int | None = None) -> DataFrame:
         """(keys, scenario, o, v, dist) of the bands from ``first`` to ``last``."""
@@ -119,7 +120,7 @@ def search(
         start = {0: Part(stored(first)[0], schema, n_origins)} if n_origins else {}
     else:
         start = by_band(first.withColumn("_at", band), "_at")
-    out = Search(spark, who, schema, width)
+    out = Search(spark, who, schema, width, targets=targets)
     waiting: dict[int, list[str]] = {k: [part.path] for k, part in start.items()}
     most = {k: part.rows for k, part in start.items()}  # rows that wait for a band, at most
     final = {} if known is None else by_band(known.select(*who, "v", "dist").withColumn("_at", band), "_at")
@@ -188,7 +189,7 @@ def search(
     for folders in waiting.values():
         for folder in folders:
             remove(spark, folder)
-    out.targets = targets
+    discard(live)
     return out
 
 

@@ -20,6 +20,8 @@ from sparkwalk.session import counted_cut, cut
 
 # The POI tags kept, in this order.
 POI_TAGS = ("amenity", "healthcare", "leisure", "office", "shop")
+#: Smallest grid cell of joins in degrees, about a kilometre; larger shapes lie on coarser levels of their own.
+DEGREES = 1 / 128
 
 
 def _middle(shapes: DataFrame) -> Column:
@@ -58,7 +60,7 @@ def city_pois(
     else:
         rows = rows.join(classes.withColumn("naics_code", F.col("naics_code").cast("int")), "naics_code")
         rows = rows.select("placekey", y, x, "poi_class")
-    return spatial.points_in_polygons(rows, boundary.select("geometry"), "geometry", x, y).drop("geometry")
+    return spatial.points_in_polygons(rows, boundary.select("geometry"), "geometry", x, y, DEGREES).drop("geometry")
 
 
 def land_use_layer(features: DataFrame, categories: DataFrame, on: str, rename: dict[str, str] | None = None) -> DataFrame:
@@ -81,14 +83,14 @@ def census_layer(counties: DataFrame, boundary: DataFrame, block_groups: DataFra
     city's first state are used.
     """
     city = boundary.select(F.col("geometry").alias("_city"))
-    touched = spatial.polygons_meet(lower_names(counties), city, "geometry", "_city").select("statefp", "countyfp").distinct()
+    touched = spatial.polygons_meet(lower_names(counties), city, "geometry", "_city", DEGREES).select("statefp", "countyfp").distinct()
     state = touched.agg(F.min("statefp").alias("statefp"))
     codes = touched.join(state, "statefp").select(F.col("statefp").alias("state"), F.col("countyfp").alias("county"))
     rows = acs.join(codes, ["state", "county"], "left_semi")
     ids = ["state", "county", "tract", "block_group"]
     rows = rows.withColumn("geoid", geoid(*[F.col(c) for c in ids])).drop(*ids)
     areas = lower_names(block_groups).select(F.col("geoid").cast("string").alias("geoid"), "geometry")
-    inside = spatial.polygons_meet(areas, city, "geometry", "_city").select("geoid").distinct()
+    inside = spatial.polygons_meet(areas, city, "geometry", "_city", DEGREES).select("geoid").distinct()
     return areas.join(inside, "geoid", "left_semi").join(rows, "geoid")
 
 
