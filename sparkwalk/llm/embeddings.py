@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, functions as F
 from sparkwalk.llm.simhash import unite
 from sparkwalk.operators.components import connected_components
 from sparkwalk.operators.skew import skew_join
-from sparkwalk.session import counted_cut, cut, discard
+from sparkwalk.session import cut, discard
 
 SEED = 42
 #: Dimensions of a block; vectors the trees are fitted on; points of a tile, and the aim for a leaf; rows compared at once.
