@@ -454,6 +454,12 @@ where e.exists_ and (e.src_vid = n.src_vid and e.trg_vid = n.trg_vid or e.src_vi
 where id not in (select c.id from chain c join two using (cid))
 union all
 select string_agg(cast(c.id as varchar), ',' order by c.id), -1, false, t.a, t.b, cast(sum(c.len) as bigint) from two t join chain c using (cid) group by t.cid, t.a, t.b""",
+    "chain_shapes": _with(ctes("net_edges", "od", "net_nodes"), CHAINS, CC, CHAINS2, LINES, recursive=True)
+    + """select cast(id as varchar) eids, 1 n_parts, round(l.len, 3) length from e join lines l on l.eid = id
+where id not in (select c.id from chain c join two using (cid))
+union all
+select string_agg(cast(c.id as varchar), ',' order by c.id), cast(count(*) as int), round(sum(l.len), 3) from two t join chain c using (cid)
+join lines l on l.eid = c.id group by t.cid""",
     "components": _with(ctes("net_edges"), VE, ARCS, CC, recursive=True) + "select variant, vid, cid from cc",
     "edges_by_component": _with(ctes("net_edges"), VE, ARCS, CC, recursive=True)
     + "select e.variant, cid, count(*) n_edges, cast(sum(len) as bigint) len from ve e join cc on cc.variant = e.variant and vid = src_vid group by 1, 2",

@@ -465,6 +465,16 @@ def chains_contracted(spark, d):
     return out.select(F.concat_ws(",", "eids").alias("eids"), "orig_id", "is_xwalk", "src_vid", "trg_vid", "len")
 
 
+@query
+def chain_shapes(spark, d):
+    """Contracted chains with the shapes of all links they replace."""
+    lines = _edge_lines(spark, d).select(F.col("eid").alias("id"), "geometry")
+    demanded = table(spark, d, "od").select(F.explode(F.array("vid_o", "vid_d")).alias("vid")).distinct()
+    out = contract_chains(_current(spark, d).join(lines, "id"), demanded, "geometry")
+    total = F.aggregate(F.transform("geometry", G.length), F.lit(0.0), lambda a, b: a + b)
+    return out.select(F.concat_ws(",", "eids").alias("eids"), F.size("geometry").alias("n_parts"), F.round(total, 3).alias("length"))
+
+
 # ---------------------------------------------------------------- graphs
 
 
