@@ -357,6 +357,13 @@ mids as (
     )
     + """select cast(odpt_id as bigint) osmid, t.category || ' ' || (odpt_id % 5) subcategory, t.category, round(x, 3) x, round(y, 3) y
 from mids join (values ('amenity', 2), ('healthcare', 7), ('leisure', 3), ('office', 5), ('shop', 4)) t(category, every) on odpt_id % every = 0""",
+    "gzip_pois": _with(SPOTS) + "select 'p' || odpt_id placekey, y latitude, x longitude from spots",
+    "projected_lengths": _with(
+        ctes("net_edges", "net_nodes"), LINES,
+        # metres of a degree on a sphere of the mean radius
+        "unit as (select 6371008.8e0 * pi() / 180 m)",
+    )
+    + """select eid, round(sqrt(power((x2 / 1e8 - x1 / 1e8) * m * cos(radians(30.0e0)), 2) + power((y2 / 1e9 - y1 / 1e9) * m, 2)), 3) metres from lines, unit""",
     "building_centroids": _with(ctes("net_nodes"))
     + "select vid osmid, 'yes' kind, round(x_mm + 2200.0, 3) x, round(y_mm + 2200.0, 3) y from net_nodes",
     "line_measures": _with(ctes("net_edges", "net_nodes"), LINES)

@@ -228,6 +228,24 @@ def mixed_poi_points(spark, d):
     return out.select("osmid", "subcategory", "category", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
 
 
+@query
+def gzip_pois(spark, d):
+    """Points of interest written as gzip CSV files with a header and read back under a schema, never inferred."""
+    path = f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}"
+    spots = _spots(spark, d).select(F.concat(F.lit("p"), "odpt_id").alias("placekey"), F.col("y").alias("latitude"), F.col("x").alias("longitude"))
+    spots.repartition(3).write.option("header", True).option("compression", "gzip").csv(path)
+    return features.read_pois(spark, path, "placekey string, latitude double, longitude double")
+
+
+@query
+def projected_lengths(spark, d):
+    """Lines given in degrees around 30 N 97 W, projected point by point and measured in metres."""
+    lines = _edge_lines(spark, d)
+    degrees = G.map_points(F.col("geometry"), lambda p: G.point(p["x"] / 1e8 - 97, p["y"] / 1e9 + 30))
+    flat = G.map_points(degrees, lambda p: G.project_xy(p, 30.0, -97.0))
+    return lines.select("eid", F.round(G.length(flat), 3).alias("metres"))
+
+
 @query
 def building_centroids(spark, d):
     """L-shaped buildings around every node."""
