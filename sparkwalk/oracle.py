@@ -415,6 +415,9 @@ join zones c on c.zone_id = 12 and z.x0 <= c.x1 and c.x0 <= z.x1 and z.y0 <= c.y
   round(case when s.pos <= s.len / 2 then s.pos else s.len - s.pos end, 3) dist_cp2node from entry""",
     "sample_od": _with(SPOTS, SHOPS, SAMPLE)
     + """select od_id, orig_odpt, dest_odpt from (select row_number() over (order by draw_id) - 1 od_id, orig_odpt, dest_odpt from taken)
+where od_id < (select count(*) // 3 from orders)""",
+    "sample_round_trip": _with(SPOTS, SHOPS, SAMPLE)
+    + """select od_id, orig_odpt, dest_odpt from (select row_number() over (order by draw_id) - 1 od_id, orig_odpt, dest_odpt from taken)
 where od_id < (select count(*) // 3 from orders)""",
     "intersections": _with(ctes("street_roads"), STREETS) + "select ixn_id, x, y from ixns",
     "candidate_crosswalks": _candidate(""),

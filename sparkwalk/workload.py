@@ -389,6 +389,19 @@ def sample_od(spark, d):
     return demand.sample_trips(_spots(spark, d), _shops(spark, d), n, 800000.0, given=given).select("od_id", "orig_odpt", "dest_odpt")
 
 
+@query
+def sample_round_trip(spark, d):
+    """Two samples of a city stored side by side, one of them found again by its size, seed and range."""
+    root = f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}"
+    sample = cut(sample_od(spark, d))
+    n = table(spark, d, "orders").count() // 3
+    for seed, rows in ((1234, sample), (4321, sample.withColumn("od_id", F.col("od_id") + n))):
+        named = rows.withColumns({"n": F.lit(n), "seed": F.lit(seed), "max_dist": F.lit(800)})
+        layers.save_layer(named, root, "samples", "Test City, TX", by=["n", "seed", "max_dist"])
+    back = layers.load_layer(spark, root, "samples", "Test City").filter((F.col("n") == n) & (F.col("seed") == 1234) & (F.col("max_dist") == 800))
+    return back.select("od_id", "orig_odpt", "dest_odpt")
+
+
 # ---------------------------------------------------------------- streets
 
 
