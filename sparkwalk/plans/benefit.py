@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from sparkwalk.functions.scalar import METRES_PER_MILE
-from sparkwalk.operators.components import connected_components
 from sparkwalk.operators.bands import found
+from sparkwalk.operators.forest import bottlenecks
 from sparkwalk.operators.ranking import batches, interpolate_gaps, running
 from sparkwalk.operators.routing import arc_table, distances
-from sparkwalk.operators.skew import skew_join
 from sparkwalk.session import counted_cut, cut
 
 
@@ -25,66 +24,13 @@ def first_connected_step(pairs: DataFrame, edges: DataFrame, last: int) -> DataF
     at most ``last``); ``pairs`` (vid_o, vid_d, n_ods).  Pairs that never connect drop.
     A vertex counts only once it has a link, also where both ends are the same vertex.
 
-    All steps are searched at once by halving: links up to the middle step are contracted,
-    pairs they connect go on with the earlier half of the steps, all others with the later
-    half on the contracted network.  Every link is in one half only, so this takes
-    log2(steps) component passes over at most all links, however many steps there are.
+    One spanning forest over the steps answers all pairs (``forest.bottlenecks``), however many steps there are.
     """
     ends = edges.select("step", F.explode(F.array("src_vid", "trg_vid")).alias("vid_o"))
     own = ends.groupBy("vid_o").agg(F.min("step").alias("step"))
     loops = pairs.filter("vid_o = vid_d").join(own, "vid_o").select("vid_o", "vid_d", "n_ods", "step")
-
-    # segment (lo, hi]: the wanted step lies above lo and not above hi; last + 1 stands for never
-    links = cut(
-        edges.filter("src_vid <> trg_vid")
-        .groupBy(F.least("src_vid", "trg_vid").alias("src_vid"), F.greatest("src_vid", "trg_vid").alias("trg_vid"))
-        .agg(F.min("step").alias("step"))
-        .withColumns({"lo": F.lit(-1), "hi": F.lit(last + 1)})
-    )
-    open_pairs, seen = counted_cut(
-        pairs.filter("vid_o <> vid_d")
-        .select("vid_o", "vid_d", "n_ods", F.col("vid_o").alias("a"), F.col("vid_d").alias("b"))
-        .withColumns({"lo": F.lit(-1), "hi": F.lit(last + 1)})
-    )
-    done = None
-    n_pairs = seen["n"]
-    while n_pairs:
-        middle = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
-        early = F.col("step") <= middle
-        label = cut(connected_components(links.filter(early), ["lo"]))
-        at_a = label.select("lo", F.col("vid").alias("a"), F.col("cid").alias("ca"))
-        at_b = label.select("lo", F.col("vid").alias("b"), F.col("cid").alias("cb"))
-        seen_pairs = skew_join(skew_join(open_pairs, at_a, ["lo", "a"], "left", rows=n_pairs), at_b, ["lo", "b"], "left", rows=n_pairs)
-        a, b = F.coalesce("ca", "a"), F.coalesce("cb", "b")
-        met = a == b
-        open_pairs = cut(
-            seen_pairs.select(
-                "vid_o", "vid_d", "n_ods",
-                F.when(met, F.col("a")).otherwise(a).alias("a"),
-                F.when(met, F.col("b")).otherwise(b).alias("b"),
-                F.when(met, F.col("lo")).otherwise(middle).alias("lo"),
-                F.when(met, middle).otherwise(F.col("hi")).alias("hi"),
-            )
-        )
-        late = skew_join(
-            skew_join(
-                links.filter(~early).select("src_vid", "trg_vid", "step", "lo", middle.alias("_mid"), "hi"),
-                at_a.withColumnRenamed("a", "src_vid"), ["lo", "src_vid"], "left", rows=links._rows,
-            ),
-            at_b.withColumnRenamed("b", "trg_vid"), ["lo", "trg_vid"], "left", rows=links._rows,
-        ).select(
-            F.coalesce("ca", "src_vid").alias("src_vid"), F.coalesce("cb", "trg_vid").alias("trg_vid"), "step", F.col("_mid").alias("lo"), "hi"
-        )
-        halves = links.filter(early).select("src_vid", "trg_vid", "step", "lo", middle.alias("hi")).unionByName(late)
-        found = open_pairs.filter("hi - lo = 1").select("vid_o", "vid_d", "n_ods", F.col("hi").alias("step"))
-        done = found if done is None else done.unionByName(found)
-        open_pairs, seen = counted_cut(open_pairs.filter("hi - lo > 1"))
-        n_pairs = seen["n"]
-        # halves in which no pair is left to decide need no more passes
-        wanted = open_pairs.select("lo").distinct()
-        links = cut(halves.filter("hi - lo > 1 and src_vid <> trg_vid").join(wanted, "lo", "left_semi"))
-    found = loops if done is None else loops.unionByName(done)
-    return found.filter(F.col("step") <= last)
+    met = bottlenecks(pairs.select("vid_o", "vid_d", "n_ods"), edges, "step")
+    return loops.unionByName(met).filter(F.col("step") <= last)
 
 
 def links_vs_trips(od: DataFrame, edges_min: DataFrame, edges_max: DataFrame, interval: int = 1) -> DataFrame:

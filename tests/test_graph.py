@@ -7,7 +7,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from sparkwalk.operators import bands, components, routing
+from sparkwalk.operators import bands, components, forest, routing
 from sparkwalk.operators.components import connected_components
 from sparkwalk.operators.contract import contract_chains
 from sparkwalk.plans import benefit
@@ -215,3 +215,36 @@ def test_lengths_are_positive_whole_numbers(spark):
         routing.arc_table(spark.createDataFrame([(1, 1, 2, 0.5)], "id int, src_vid int, trg_vid int, len double"))
     with pytest.raises(Exception, match="positive length"):
         routing.arc_table(spark.createDataFrame([(1, 1, 2, 0)], EDGE)).collect()
+
+
+def test_weakest_links_and_spanning_forest(spark):
+    """Against Kruskal, per key: total weight and number of links, and the weight at which each pair meets."""
+    rnd, rows, want, least = random.Random(4), [], {}, {}
+    pairs = [(k, o, d, o * 100 + d) for k in "ab" for o in range(0, 80, 3) for d in range(0, 80, 7)]
+    for k, m in (("a", 70), ("b", 200)):
+        own = [(k, i, rnd.randrange(70), rnd.randrange(70), rnd.choice([0, 0, 1, 2, 5, i])) for i in range(m)]
+        own += [(k, m, 4, 4, -1), (k, m + 1, *own[0][2:])] + [(k, m + 2 + i, 70 + i, 71 + i, i) for i in range(9)]  # a loop, a copy, a rising chain
+        group, total = {}, [0, 0]
+        find = lambda v: v if group.setdefault(v, v) == v else find(group[v])
+        for _, _, a, b, w in sorted(own, key=lambda e: e[4]):
+            a, b = find(a), find(b)
+            if a != b:
+                group[a] = b
+                total = [total[0] + 1, total[1] + w]
+                for p in pairs:
+                    if p[0] == k and p[1] != p[2] and p not in want and find(p[1]) == find(p[2]):
+                        want[p] = w
+        rows, least[k] = rows + own, total
+    edges = spark.createDataFrame(rows, "k string, id int, src_vid int, trg_vid int, cost int")
+    got = forest.bottlenecks(spark.createDataFrame(pairs, "k string, vid_o int, vid_d int, note int"), edges, "cost", ["k"])
+    assert {(r.k, r.vid_o, r.vid_d, r.note): r.cost for r in got.collect()} == want
+    chosen = forest.spanning_forest(edges, "cost", keys=["k"]).join(edges, ["k", "id"]).groupBy("k").agg(F.count("id"), F.sum("cost"))
+    assert {r[0]: [r[1], r[2]] for r in chosen.collect()} == least
+
+
+def test_forest_of_nothing(spark):
+    edges = spark.createDataFrame([(1, 2, 2, 0)], "id int, src_vid int, trg_vid int, step int")  # a loop alone
+    pairs = spark.createDataFrame([(2, 2, 1), (2, 3, 1), (None, 2, 1)], "vid_o int, vid_d int, n_ods bigint")
+    assert forest.spanning_forest(edges, "step").count() == 0
+    assert forest.bottlenecks(pairs, edges, "step").count() == 0
+    assert [tuple(r) for r in benefit.first_connected_step(pairs, edges, 3).collect()] == [(2, 2, 1, 0)]
