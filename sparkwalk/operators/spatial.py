@@ -95,14 +95,6 @@ def box_join(
     return out.drop("_level", "_cx", "_cy", *[f"{p}{c}" for p in ("_l_", "_r_") for c in (*BOX, "own")])
 
 
-def points_in_polygons(points: DataFrame, zones: DataFrame, polygon: str = "geometry", x: str = "x", y: str = "y", cell: float = 64.0) -> DataFrame:
-    """Every point with every polygon around it: overlaps repeat the point, points outside drop."""
-    inside = G.point_in_polygon(F.struct(F.col(x).alias("x"), F.col(y).alias("y")), F.col(polygon))
-    return box_join(
-        with_box(points, point_box(x, y)), with_box(zones, G.bbox(F.flatten(polygon))), inside, cell
-    )
-
-
 def polygons_meet(left: DataFrame, right: DataFrame, left_polygon: str, right_polygon: str, cell: float = 64.0) -> DataFrame:
     return box_join(
         with_box(left, G.bbox(F.flatten(left_polygon))),

@@ -380,6 +380,9 @@ select l_suppkey, count(*) n,
 from q group by 1""",
     "node_in_zone": _with(ctes("net_nodes", "zones"))
     + "select vid, zone_id, dmd_kind from net_nodes join zones on x_mm >= x0 and x_mm < x1 and y_mm >= y0 and y_mm < y1",
+    "multi_part_zone": _with(ctes("net_nodes", "zones"))
+    + """select vid, zone_id from (select *, (x_mm - x0) / cast(x1 - x0 as double) u, (y_mm - y0) / cast(y1 - y0 as double) v from net_nodes join zones on true)
+where v >= 0 and v < 1 and (u >= 0 and u < 0.5 and not (u >= 0.125 and u < 0.375 and v >= 0.25 and v < 0.75) or u >= 0.75 + v / 4 and u < 1)""",
     "zones_meet": _with(ctes("zones"))
     + "select a.zone_id a, b.zone_id b from zones a join zones b on a.x0 <= b.x1 and b.x0 <= a.x1 and a.y0 <= b.y1 and b.y0 <= a.y1",
     "edges_near_shops": _with(ctes("net_edges", "net_nodes"), LINES, SHOPS)

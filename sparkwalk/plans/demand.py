@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from sparkwalk.functions import geometry as G
 from sparkwalk.functions.scalar import clip, geoid, haversine_m, stops_along
 from sparkwalk.operators import spatial
+from sparkwalk.operators.polygons import points_in_polygons
 from sparkwalk.operators.ranking import dense_ids, running, with_start
 from sparkwalk.operators.relational import bbox_filter, lower_names, tags_long
 from sparkwalk.operators.skew import skew_join
@@ -60,7 +61,7 @@ def city_pois(
     else:
         rows = rows.join(classes.withColumn("naics_code", F.col("naics_code").cast("int")), "naics_code")
         rows = rows.select("placekey", y, x, "poi_class")
-    return spatial.points_in_polygons(rows, boundary.select("geometry"), "geometry", x, y, DEGREES).drop("geometry")
+    return points_in_polygons(rows, boundary.select("geometry"), "geometry", x, y)
 
 
 def land_use_layer(features: DataFrame, categories: DataFrame, on: str, rename: dict[str, str] | None = None) -> DataFrame:
@@ -111,11 +112,11 @@ def od_points(
     ``max_people_per_bld`` each.  Areas without people are left out first; buildings of areas
     without an origin building drop too, unless ``keep_unpopulated``.
     """
-    used = spatial.points_in_polygons(buildings, land_use.select("category", "dmd_kind", "geometry")).drop("geometry")
+    used = points_in_polygons(buildings, land_use.select("category", "dmd_kind", "geometry"))
     used = cut(used.withColumn("origin", F.col("dmd_kind").eqNullSafe("O")))
     people = census.select("geoid", F.col("popu").cast("double").alias("popu"), "geometry").filter("popu > 0")
     people = people.withColumn("popu_cbg", F.col("popu").cast("bigint")).drop("popu")
-    placed = cut(spatial.points_in_polygons(used, people).drop("geometry"))
+    placed = cut(points_in_polygons(used, people))
     share = placed.filter("origin").groupBy("geoid").agg((F.min("popu_cbg") / F.count(F.lit(1))).alias("weight"))
     share = share.withColumn("weight", clip(F.col("weight"), 0.0, float(max_people_per_bld)))
     homes = skew_join(placed, share, ["geoid"], "left" if keep_unpopulated else "inner")

@@ -16,6 +16,7 @@ from sparkwalk.functions.scalar import haversine_m, metres_to_miles, pedscore, s
 from sparkwalk.operators import ranking, relational, routing, spatial
 from sparkwalk.operators.components import connected_components, connected_trips, edge_components
 from sparkwalk.operators.contract import contract_chains, degrees
+from sparkwalk.operators.polygons import points_in_polygons
 from sparkwalk.plans import benefit, crosswalks, demand, scores
 from sparkwalk.session import checkpoint_dir, cut
 from sparkwalk.sources import features, layers
@@ -286,7 +287,19 @@ def great_circle(spark, d):
 def node_in_zone(spark, d):
     nodes = table(spark, d, "net_nodes").select("vid", F.col("x_mm").cast("double").alias("x"), F.col("y_mm").cast("double").alias("y"))
     zones = _zones(spark, d).select("zone_id", "dmd_kind", "geometry")
-    return spatial.points_in_polygons(nodes, zones, cell=100000.0).select("vid", "zone_id", "dmd_kind")
+    return points_in_polygons(nodes, zones).select("vid", "zone_id", "dmd_kind")
+
+
+@query
+def multi_part_zone(spark, d):
+    """Nodes in zones of two parts each, the first with a hole, the second turned into a triangle."""
+    p = lambda a, b: G.point(F.col("x0") + a * (F.col("x1") - F.col("x0")), F.col("y0") + b * (F.col("y1") - F.col("y0")))
+    box = lambda a, b, c, e: F.array(p(a, b), p(c, b), p(c, e), p(a, e), p(a, b))
+    parts = F.array(F.array(box(0, 0, 0.5, 1), box(0.125, 0.25, 0.375, 0.75)), F.array(F.array(p(0.75, 0), p(1, 0), p(1, 1), p(0.75, 0))))
+    shape = F.struct(F.lit("MultiPolygon").alias("kind"), parts.alias("parts"))
+    zones = table(spark, d, "zones").select("zone_id", shape.alias("geometry"))
+    nodes = table(spark, d, "net_nodes").select("vid", F.col("x_mm").cast("double").alias("x"), F.col("y_mm").cast("double").alias("y"))
+    return points_in_polygons(nodes, zones).select("vid", "zone_id")
 
 
 @query
