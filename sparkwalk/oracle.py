@@ -526,6 +526,16 @@ from ve e left join bw using (id) left join used using (id)""",
   round(100.0 * f_length / max(f_length) over (), 4) pct_length, round(f_length * 0.001 / 1609.344, 4) length_mi from filled_delta_mean""",
     "layer_round_trip": _with(ctes("net_edges"), VE)
     + """select id, src_vid, trg_vid, len, exists_ "exists", is_xwalk from ve where variant = 'sidewalks'""",
+    "reprojected_layer": _with(
+        ctes("net_edges", "net_nodes"), LINES,
+        """flat as (select eid, 6378137 * radians(x1 / 1e8 - 97) a, 6378137 * ln(tan(radians(y1 / 1e9 + 30) / 2 + pi() / 4)) b,
+  6378137 * radians(x2 / 1e8 - 97) c, 6378137 * ln(tan(radians(y2 / 1e9 + 30) / 2 + pi() / 4)) e from lines)""",
+    )
+    + """select eid, case when eid % 2 = 0 then 'test_city' else 'other_city' end city, round(sqrt(power(c - a, 2) + power(e - b, 2)), 2) metres from flat""",
+    "snapshot_round_trip": _with(ctes("net_edges", "od"), SCORED, DIST_STEPS, recursive=True)
+    + """select kind, cast(step as int) step, vid_o, vid_d, n_ods, cast(d * f as bigint) d
+from step_dist join (values ('usage', 1), ('twice', 2)) k(kind, f) on true
+where step in (select unnest([0, max(step) // 2, max(step)]) from step_dist)""",
     "feature_round_trip": _with(ctes("net_edges", "net_nodes"), LINES)
     + """select eid, case when exists_ then 'Existing' else 'Proposed' end || case when is_xwalk then ' crosswalk' else ' sidewalk' end category,
   round(len, 3) len from lines join net_edges on id = eid""",

@@ -19,7 +19,7 @@ from sparkwalk.operators.contract import contract_chains, degrees
 from sparkwalk.operators.polygons import points_in_polygons
 from sparkwalk.plans import benefit, crosswalks, demand, scores
 from sparkwalk.session import checkpoint_dir, cut
-from sparkwalk.sources import features, layers
+from sparkwalk.sources import features, layers, snapshots
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -671,6 +671,29 @@ def layer_round_trip(spark, d):
     return back.select("id", "src_vid", "trg_vid", "len", "exists", "is_xwalk")
 
 
+@query
+def reprojected_layer(spark, d):
+    """Two cities saved in degrees and in metres around a place, loaded together in Web Mercator."""
+    root = f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}"
+    lines = _edge_lines(spark, d).select("eid", G.map_points(F.col("geometry"), lambda p: G.point(p["x"] / 1e8 - 97, p["y"] / 1e9 + 30)).alias("geometry"))
+    layers.save_layer(lines.filter("eid % 2 = 0"), root, "network_edges", "Test City, TX", crs="EPSG:4326")
+    flat = lines.withColumn("geometry", G.map_points(F.col("geometry"), lambda p: G.project_xy(p, 30.0, -97.0)))
+    layers.save_layer(flat.filter("eid % 2 = 1"), root, "network_edges", "Other City, TX", crs="local:30:-97")
+    back = layers.load_layer(spark, root, "network_edges", crs="EPSG:3857")
+    return back.select("eid", "city", F.round(G.length(F.col("geometry")), 2).alias("metres"))
+
+
+@query
+def snapshot_round_trip(spark, d):
+    """Distances of two kinds stored as changes, one kind saved twice, and read as of three steps."""
+    root = f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}"
+    pairs, profile, last, _ = _distance_change(spark, d)
+    doubled = profile.withColumn("d", F.col("d") * 2)
+    for kind, rows in (("usage", doubled), ("usage", profile), ("twice", doubled)):
+        snapshots.save_snapshots(rows, pairs, root, "Test City, TX", kind, last)
+    return snapshots.load_snapshots(spark, root, "Test City", ["usage", "twice"], [0, last // 2, last]).drop("changed")
+
+
 @query
 def feature_round_trip(spark, d):
     """Labelled edges exported as features and read back."""
