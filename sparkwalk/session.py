@@ -91,6 +91,12 @@ def discard(df: DataFrame) -> None:
         remove(df.sparkSession, path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    sc = spark.sparkContext
+    where = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(sc._jsc.hadoopConfiguration()).exists(where)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder that ``stored`` wrote, or a part of it."""
     sc = spark.sparkContext

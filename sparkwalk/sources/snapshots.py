@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from sparkwalk.session import exists
 from sparkwalk.sources.layers import city_label
 
 _LOG = "city string, kind string, run string, last int, saved_at timestamp, seq bigint"
@@ -14,12 +15,7 @@ _LOG = "city string, kind string, run string, last int, saved_at timestamp, seq
 
 def _log(spark: SparkSession, root: str) -> list:
     """All finished runs: a row per save, so a small table."""
-    try:
-        return spark.read.schema(_LOG).parquet(f"{root}/runs").collect()
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" in str(e):
-            return []
-        raise
+    return spark.read.schema(_LOG).parquet(f"{root}/runs").collect() if exists(spark, f"{root}/runs") else []
 
 
 def save_snapshots(profile: DataFrame, pairs: DataFrame, root: str, city: str, kind: str, last: int) -> str:
