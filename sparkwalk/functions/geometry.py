@@ -173,6 +173,11 @@ def polygons_intersect(a: Column, b: Column) -> Column:
     return edges_cross | inside
 
 
+def _once(value: Column, fn) -> Column:
+    """``fn`` of a value that is worked out once a row, however often ``fn`` names it."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def _sums(a: Column, cx: Column, cy: Column) -> Column:
     return F.struct(a.alias("a"), cx.alias("cx"), cy.alias("cy"))
 
@@ -193,13 +198,12 @@ def _area_sums(polygon: Column, x0: Column, y0: Column) -> Column:
 
         return _added(F.transform(segments(ring), piece))
 
-    def signed(ring: Column, i: Column) -> Column:
-        total = ring_sum(ring)
+    def signed(total: Column, i: Column) -> Column:
         # orientation is not given: the shell counts positive, holes negative
         flip = F.signum(total["a"]) * F.when(i == 0, F.lit(1.0)).otherwise(F.lit(-1.0))
         return _sums(flip * total["a"], flip * total["cx"], flip * total["cy"])
 
-    return _added(F.transform(polygon, signed))
+    return _added(F.transform(F.transform(polygon, ring_sum), signed))
 
 
 def _length_sums(pieces: Column, x0: Column, y0: Column) -> Column:
@@ -220,9 +224,11 @@ def _mean_point(points: Column) -> Column:
 def centroid(polygon: Column) -> Column:
     """Area centroid of shell and holes; shapes without an area give the mean of their points."""
     first = polygon.getItem(0).getItem(0)
-    total = _area_sums(polygon, first.x, first.y)
-    return F.when(total["a"] != 0, point(first.x + total["cx"] / (3 * total["a"]), first.y + total["cy"] / (3 * total["a"]))).otherwise(
-        _mean_point(F.flatten(polygon))
+    return _once(
+        _area_sums(polygon, first.x, first.y),
+        lambda total: F.when(
+            total["a"] != 0, point(first.x + total["cx"] / (3 * total["a"]), first.y + total["cy"] / (3 * total["a"]))
+        ).otherwise(_mean_point(F.flatten(polygon))),
     )
 
 
@@ -231,19 +237,26 @@ def shape_centroid(shape: Column) -> Column:
 
     Polygons without an area are taken as lines, lines without a length as points; a shape without a point has none.
     """
-    parts, polygonal = shape["parts"], shape["kind"].endswith("Polygon")
-    points = F.flatten(F.flatten(parts))
-    first = F.get(points, F.lit(0))
-    area = _added(F.transform(F.when(polygonal, parts), lambda p: _area_sums(p, first["x"], first["y"])))
-    pieces = F.flatten(F.transform(F.flatten(parts), segments))
-    size = _length_sums(pieces, first["x"], first["y"])
-    return F.when(
-        polygonal & (area["a"] != 0), point(first["x"] + area["cx"] / (3 * area["a"]), first["y"] + area["cy"] / (3 * area["a"]))
-    ).otherwise(
-        F.when(size["a"] > 0, point(first["x"] + size["cx"] / size["a"], first["y"] + size["cy"] / size["a"])).otherwise(
+    def middle(shape: Column) -> Column:
+        parts, polygonal = shape["parts"], shape["kind"].endswith("Polygon")
+        return _once(F.flatten(F.flatten(parts)), lambda points: _once(F.get(points, F.lit(0)), lambda first: by_area(parts, polygonal, points, first)))
+
+    def by_area(parts: Column, polygonal: Column, points: Column, first: Column) -> Column:
+        area = _added(F.transform(F.when(polygonal, parts), lambda p: _area_sums(p, first["x"], first["y"])))
+        pieces = F.flatten(F.transform(F.flatten(parts), segments))
+        return _once(
+            area,
+            lambda area: F.when(
+                polygonal & (area["a"] != 0), point(first["x"] + area["cx"] / (3 * area["a"]), first["y"] + area["cy"] / (3 * area["a"]))
+            ).otherwise(_once(_length_sums(pieces, first["x"], first["y"]), lambda size: by_length(size, points, first))),
+        )
+
+    def by_length(size: Column, points: Column, first: Column) -> Column:
+        return F.when(size["a"] > 0, point(first["x"] + size["cx"] / size["a"], first["y"] + size["cy"] / size["a"])).otherwise(
             F.when(F.size(points) > 0, _mean_point(points))
         )
-    )
+
+    return _once(shape, middle)
 
 
 def point_along(shape: Column, distance: Column) -> Column:

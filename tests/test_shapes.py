@@ -94,3 +94,12 @@ def test_nearest_piece_of_whole_lines(spark):
     assert all(rows[i][0] == pytest.approx(d, abs=1e-9) and (rows[i][1] == k or d == 0) for i, (d, k) in want.items())
     none = spatial.nearest_to_lines(spark.createDataFrame(lines, f"line int, {cols}"), spark.createDataFrame([], f"road int, {cols}"), "line", "road")
     assert none.count() == 0 and none.columns == ["line", "road", "dist"]
+
+
+def test_a_centroid_is_worked_out_once(spark):
+    """The plan names the sums over a ring once, not once for every use of them."""
+    ring = F.array(F.array(*[G.point(F.col("id") + a, F.lit(b)) for a, b in ((0, 0), (4, 0), (4, 4), (0, 0))]))
+    shape = F.struct(F.lit("Polygon").alias("kind"), F.array(ring).alias("parts"))
+    for expression, most in ((G.centroid(ring), 6), (G.shape_centroid(shape), 12)):
+        plan = spark.range(1).select(expression.alias("p"))._jdf.queryExecution().analyzed().toString()
+        assert plan.count("aggregate(") <= most
