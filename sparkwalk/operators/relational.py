@@ -79,10 +79,15 @@ def either_order(a: Column, b: Column) -> tuple[Column, Column]:
 
 
 def anti_join_either_order(df: DataFrame, known: DataFrame, src: str, trg: str) -> DataFrame:
-    """Rows whose (src, trg) is not in ``known`` in either orientation."""
+    """Rows whose (src, trg) is not in ``known`` in either orientation.
+
+    The ends are joined together with a hash of both: a hash table over two short numbers alone takes them as one long
+    number, and ends that lie close to each other then pile up in few places of it.
+    """
     a, b = either_order(F.col(src), F.col(trg))
-    seen = known.select(*[c.alias(n) for c, n in zip(either_order(F.col(src), F.col(trg)), ("_a", "_b"))]).distinct()
-    return df.withColumns({"_a": a, "_b": b}).join(seen, ["_a", "_b"], "left_anti").drop("_a", "_b")
+    ends = {"_a": a, "_b": b, "_h": F.xxhash64(a, b)}
+    seen = known.select(*[c.alias(n) for n, c in ends.items()]).distinct()
+    return df.withColumns(ends).join(seen, list(ends), "left_anti").drop(*ends)
 
 
 def attach_ends(pairs: DataFrame, attrs: DataFrame, pairs_on: tuple[str, str], key: str, cols: Sequence[str]) -> DataFrame:

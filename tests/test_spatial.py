@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkwalk.functions import geometry as G
-from sparkwalk.operators import spatial
+from sparkwalk.operators import relational, spatial
 from sparkwalk.operators.skew import skew_join
 from sparkwalk.plans import crosswalks
 
@@ -102,3 +102,12 @@ def test_polygon_with_a_hole(spark):
 def test_loop_road_counts_twice(spark):
     roads = spark.range(1).select(F.col("id").cast("int"), shape([(0, 0), (5, 5), (0, 5), (0, 0)]).alias("geometry"))
     assert [(r.x, r.y) for r in crosswalks.intersections(roads).collect()] == [(0, 0)]
+
+
+def test_ends_of_a_link_are_no_single_number_in_a_join(spark):
+    """Two short numbers alone would be one key of a hash table, in which ends close to each other collide."""
+    links = spark.createDataFrame([(1, 1, 2), (2, 3, 2), (3, 5, 6), (4, None, 6)], "id int, src_vid int, trg_vid int")
+    known = spark.createDataFrame([(2, 1), (2, 3), (None, 6)], "src_vid int, trg_vid int")
+    out = relational.anti_join_either_order(links, known, "src_vid", "trg_vid")
+    assert sorted(r.id for r in out.collect()) == [3]
+    assert "xxhash64" in out._jdf.queryExecution().optimizedPlan().toString()
