@@ -151,9 +151,11 @@ def nearest(points: DataFrame, pieces: DataFrame, key: str, distance: str = "dis
     left = box["n"]
     while left:
         d = G.segment_distance(*[F.col(c) for c in ("x", "y", "x1", "y1", "x2", "y2")])
-        near = box_join(with_box(places, point_box(), radius), targets, d <= radius, radius * 2)
+        near = box_join(with_box(places, point_box(), radius), targets, None, radius * 2)
+        # the radius is asked of the least distance only, so that a distance is worked out once a pair and not inside the join
         best, seen = counted_cut(
             near.groupBy("x", "y").agg(F.min(F.struct(d.alias(distance), F.col(key))).alias("_best")).select("x", "y", "_best.*")
+            .filter(F.col(distance) <= radius)
         )
         found = best if found is None else found.unionByName(best)
         left -= seen["n"]
@@ -187,9 +189,10 @@ def nearest_to_lines(lines: DataFrame, pieces: DataFrame, line: str, key: str, d
     while left:
         wide = probes.withColumns({"minx": F.col("minx") - radius, "miny": F.col("miny") - radius, "maxx": F.col("maxx") + radius, "maxy": F.col("maxy") + radius})
         wide._rows = known_rows(probes)
-        near = box_join(wide, targets, d <= radius, radius * 2)
+        near = box_join(wide, targets, None, radius * 2)
         best, seen = counted_cut(
             near.groupBy(line).agg(F.min(F.struct(d.alias(distance), F.col(key))).alias("_best")).select(line, f"_best.{key}", f"_best.{distance}")
+            .filter(F.col(distance) <= radius)
         )
         found = best if found is None else found.unionByName(best)
         probes, own = counted_cut(probes.join(best, line, "left_anti"))
@@ -199,19 +202,20 @@ def nearest_to_lines(lines: DataFrame, pieces: DataFrame, line: str, key: str, d
 
 
 def start_radius(targets: DataFrame, extent: float, cell: float) -> float:
-    """A radius whose cells hold at most _BUSY_CELL pieces each, measured on all powers of two in one pass."""
-    steps = max(int(math.ceil(math.log2(extent / cell))), 0) + 1
+    """The largest radius, ``cell`` times a power of two, whose cells hold at most _BUSY_CELL pieces each (``cell`` if none does).
+
+    A larger cell holds all of the smaller ones it is made of, so the fitting sizes are found by halving: a few passes
+    with one row a piece each, however many sizes there are.
+    """
     mid = lambda a, b: (F.col(a) + F.col(b)) / 2
-    sizes = F.array(*[F.lit(float(cell * 2**k)) for k in range(steps)])
-    cells = targets.select(mid("minx", "maxx").alias("x"), mid("miny", "maxy").alias("y"), F.explode(sizes).alias("size"))
-    crowd = (
-        cells.groupBy("size", F.floor(F.col("x") / F.col("size")), F.floor(F.col("y") / F.col("size")))
-        .count()
-        .groupBy("size")
-        .agg(F.max("count").alias("most"))
-    )
-    fitting = [r["size"] for r in crowd.collect() if r["most"] <= _BUSY_CELL]  # one row per size
-    return max(fitting, default=cell)
+    fits, crowded = 0, max(int(math.ceil(math.log2(extent / cell))), 0) + 1
+    while crowded - fits > 1:
+        k = (fits + crowded) // 2
+        size = F.lit(float(cell * 2**k))
+        cells = targets.groupBy(F.floor(mid("minx", "maxx") / size).alias("cx"), F.floor(mid("miny", "maxy") / size).alias("cy"))
+        most = cells.count().agg(F.max("count").alias("most")).first()["most"]
+        fits, crowded = (k, crowded) if (most or 0) <= _BUSY_CELL else (fits, k)
+    return float(cell * 2**fits)
 
 
 def snap_lines(lines: DataFrame, targets: DataFrame, geometry: str = "geometry") -> DataFrame:

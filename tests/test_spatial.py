@@ -111,3 +111,29 @@ def test_ends_of_a_link_are_no_single_number_in_a_join(spark):
     out = relational.anti_join_either_order(links, known, "src_vid", "trg_vid")
     assert sorted(r.id for r in out.collect()) == [3]
     assert "xxhash64" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_start_radius_takes_each_piece_once_a_pass(spark, monkeypatch):
+    """The largest fitting size, and no copy of the pieces for every size."""
+    rnd = random.Random(9)
+    spots = [(x, y, x, y) for x, y in ((rnd.gauss(0, s), rnd.gauss(0, s)) for s in (1, 40, 900) for _ in range(300))]
+    targets = spark.createDataFrame(spots, "minx double, miny double, maxx double, maxy double")
+    fits = [1.0]
+    for k in range(13):
+        cells = [(x // 2**k, y // 2**k) for x, y, _, _ in spots]
+        if max(map(cells.count, set(cells))) <= 64:
+            fits.append(2.0**k)
+    monkeypatch.setattr(spatial.F, "explode", None)
+    assert spatial.start_radius(targets, 4000.0, 1.0) == fits[-1]
+
+
+def test_nearest_measures_behind_the_join(spark, monkeypatch):
+    """No distance in the join's condition, which is not compiled well once it is long."""
+    asked, plain = [], spatial.box_join
+    monkeypatch.setattr(spatial, "box_join", lambda a, b, where=None, *rest, **more: asked.append(where) or plain(a, b, where, *rest, **more))
+    pieces = spark.createDataFrame([(1, 0.0, 0.0, 9.0, 0.0), (2, 0.0, 70.0, 9.0, 70.0)], "k int, x1 double, y1 double, x2 double, y2 double")
+    points = spark.createDataFrame([(1, 5.0, 2.0), (2, 5.0, 40.0)], "p int, x double, y double")
+    assert sorted((r.p, r.k, r.dist) for r in spatial.nearest(points, pieces, "k").collect()) == [(1, 1, 2.0), (2, 2, 30.0)]
+    lines = pieces.withColumnRenamed("k", "line").withColumns({"y1": F.col("y1") + 3, "y2": F.col("y2") + 3})
+    assert sorted((r.line, r.k, r.dist) for r in spatial.nearest_to_lines(lines, pieces, "line", "k").collect()) == [(1, 1, 3.0), (2, 2, 3.0)]
+    assert asked and all(where is None for where in asked)
