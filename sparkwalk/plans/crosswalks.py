@@ -139,12 +139,15 @@ def _crossing_pairs(sided: DataFrame, group: list[str], radius: float) -> DataFr
     pairs = spatial.box_join(
         spatial.with_box(a, spatial.point_box("x", "y")),
         spatial.with_box(b, spatial.point_box("bx", "by"), radius),
-        crossing & differ & near, radius * 2, on=group,
+        differ & near, radius * 2, on=group,
     )
     p, q = F.struct("x", "y"), F.struct(F.col("bx").alias("x"), F.col("by").alias("y"))
     here = F.struct(p.alias("p"), F.col("sw_pt_id").alias("pt"), F.col("sw1").alias("s1"), F.col("sw2").alias("s2"))
     there = F.struct(q.alias("p"), F.col("sw_pt_b").alias("pt"), F.col("sb1").alias("s1"), F.col("sb2").alias("s2"))
-    return pairs.select("ixn_id", "road_id", F.least(here, there).alias("f"), F.greatest(here, there).alias("t"))
+    pair = F.struct(F.least(here, there).alias("f"), F.greatest(here, there).alias("t"))
+    # asked of the near pairs only, behind the join: inside its condition the long test of two pieces slows every row it looks at
+    told = pairs.select("ixn_id", "road_id", F.explode_outer(F.when(crossing, F.array(pair))).alias("s"))
+    return told.filter("s is not null").select("ixn_id", "road_id", "s.f", "s.t")
 
 
 def _shortest(segments: DataFrame) -> DataFrame:
