@@ -248,3 +248,16 @@ def test_forest_of_nothing(spark):
     assert forest.spanning_forest(edges, "step").count() == 0
     assert forest.bottlenecks(pairs, edges, "step").count() == 0
     assert [tuple(r) for r in benefit.first_connected_step(pairs, edges, 3).collect()] == [(2, 2, 1, 0)]
+
+
+def test_betweenness_of_many_parts_takes_few_batches(spark, monkeypatch):
+    """An origin reaches its own part only, so batches follow the parts, not the whole network squared."""
+    searches = []
+    search = routing.bands.search
+    monkeypatch.setattr(routing.bands, "search", lambda *a, **k: searches.append(1) or search(*a, **k))
+    monkeypatch.setattr(routing, "BATCH_ROWS", 400)
+    edges = [(i, 2 * i, 2 * i + 1, 5) for i in range(100)]
+    edges += [(100, 1000, 1001, 5), (101, 1001, 1002, 5), (102, 2000, 2000, 5)]
+    got = {r.id: r.bwness for r in routing.edge_betweenness(spark.createDataFrame(edges, EDGE)).collect()}
+    assert got == {**{i: 1.0 for i in range(100)}, 100: 2.0, 101: 2.0, 102: 0.0}
+    assert len(searches) == 2  # 100 parts of 2 origins x 2 arcs, one of 3 x 4: 412 rows; 204 x 204 over all
