@@ -7,7 +7,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from sparkwalk.operators import bands, components, forest, routing
+from sparkwalk.operators import bands, components, forest, routing, skew
 from sparkwalk.operators.components import connected_components
 from sparkwalk.operators.contract import contract_chains
 from sparkwalk.plans import benefit
@@ -261,3 +261,16 @@ def test_betweenness_of_many_parts_takes_few_batches(spark, monkeypatch):
     got = {r.id: r.bwness for r in routing.edge_betweenness(spark.createDataFrame(edges, EDGE)).collect()}
     assert got == {**{i: 1.0 for i in range(100)}, 100: 2.0, 101: 2.0, 102: 0.0}
     assert len(searches) == 2  # 100 parts of 2 origins x 2 arcs, one of 3 x 4: 412 rows; 204 x 204 over all
+
+
+def test_component_rounds_measure_no_join_for_hot_keys(spark, monkeypatch):
+    """The arcs at the busiest node are counted with the choices, so no round joins its arcs twice to look for hubs."""
+    measured, join, hot_keys = [], components.skew_join, skew.hot_keys
+    monkeypatch.setattr(components, "skew_join", lambda *a, **k: join(*a, **k, hot_rows=10))
+    monkeypatch.setattr(skew, "hot_keys", lambda df, on, *a: measured.append(on[-1]) or hot_keys(df, on, *a))
+    got = lambda edges: {r.vid: r.cid for r in components.connected_components(spark.createDataFrame(edges, EDGE)).collect()}
+    assert got([(i, i, i + 1, 1) for i in range(60)]) == {i: 0 for i in range(61)}
+    assert not {"u", "w"} & set(measured)
+    star = [(i, 7, 100 + i, 1) for i in range(40)] + [(50, 200, 201, 1), (51, 300, 300, 1)]
+    assert got(star) == {7: 7, **{100 + i: 7 for i in range(40)}, 200: 200, 201: 200, 300: 300}
+    assert {"u", "w"} <= set(measured)  # a hub is still spread
