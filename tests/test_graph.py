@@ -274,3 +274,27 @@ def test_component_rounds_measure_no_join_for_hot_keys(spark, monkeypatch):
     star = [(i, 7, 100 + i, 1) for i in range(40)] + [(50, 200, 201, 1), (51, 300, 300, 1)]
     assert got(star) == {7: 7, **{100 + i: 7 for i in range(40)}, 200: 200, 201: 200, 300: 300}
     assert {"u", "w"} <= set(measured)  # a hub is still spread
+
+
+def test_many_arcs_stay_where_they_are(spark, monkeypatch):
+    """Where there are many arcs, short cuts that cost more than their rounds are left out, and no round shuffles the arcs; the routes are the same."""
+    edges = graph()
+    df, nodes = spark.createDataFrame(edges, EDGE), sorted(labels(edges))
+    full = {s: dijkstra(edges, s) for s in nodes}
+    pairs = spark.createDataFrame([(o, d, 1) for o in nodes for d in full[o]], "vid_o int, vid_d int, n_ods bigint")
+    arcs = routing.arc_table(df)
+    plain, both = arcs.groupBy("u", "w").agg(F.min("len").alias("len")), routing.shortcuts(arcs)
+    for most, left in ((0, 2), (sum(r["count"] ** 2 for r in plain.groupBy("u").count().collect()), 1)):
+        monkeypatch.setattr(routing, "BUCKET_ARCS", 10)
+        monkeypatch.setattr(routing, "SHORTCUT_PAIRS", most)
+        some, out = routing.shortcuts(arcs)
+        assert out == left and some.count() < both[0].count()
+        assert left == 1 or sorted(map(tuple, some.select("u", "w", "len").collect())) == sorted(map(tuple, plain.collect()))
+        net = routing._Arcs.with_shortcuts(arcs, [])
+        assert net.in_a_band == 4 << left
+        monkeypatch.setattr(routing, "SHORTCUT_PAIRS", 0)
+        front = spark.createDataFrame([(v, i) for i, v in enumerate(nodes)], "v int, o int").hint("merge")
+        plan = net.follow(front)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1  # the front alone
+        got = routing.pair_distances(pairs, df).collect()
+        assert {(r.vid_o, r.vid_d): r.d for r in got} == {(o, d): full[o][d] for o in nodes for d in full[o]}
