@@ -298,3 +298,36 @@ def test_many_arcs_stay_where_they_are(spark, monkeypatch):
         assert plan.count("Exchange hashpartitioning") == 1  # the front alone
         got = routing.pair_distances(pairs, df).collect()
         assert {(r.vid_o, r.vid_d): r.d for r in got} == {(o, d): full[o][d] for o in nodes for d in full[o]}
+
+
+def test_betweenness_with_dead_ends_folded(spark, monkeypatch):
+    """Folded trees, parallel links, pairs alone with each other and limited origins count as if every pair were walked; one search, over what is left."""
+    searches, search = [], routing.bands.search
+    monkeypatch.setattr(routing.bands, "search", lambda *a, **k: searches.append(a[0].count()) or search(*a, **k))
+    monkeypatch.setattr(routing, "FOLD_LINKS", 0)
+    monkeypatch.setattr(routing, "FOLDS", 2)
+    rnd, rows, want = random.Random(3), [], {}
+    for k, m in (("a", 0), ("b", 12)):
+        own = [(i, i, (i + 1) % 8, 1 + i % 2) for i in range(8)] + [(8 + i, 0, 4, 5 + i % 2) for i in range(3)]  # a ring, chords of two lengths
+        own += [(100 + i, i, rnd.randrange(i), rnd.choice([1, 2, 3])) for i in range(8, 40)]  # trees on it
+        own += [(200 + i, 50 + i, 51 + i, 2) for i in range(9) if i != 3] + [(300, 50, 51, 2), (301, 50, 51, 9), (302, 70, 70, 1), (303, 80, 81, 1)]
+        own += [(400 + i, rnd.randrange(90, 99), rnd.randrange(90, 99), 1) for i in range(m)]
+        rows += [(k, *e) for e in own]
+        adj = neighbours([e for e in own if e[1] != e[2]])
+        for s in adj:
+            dist = dijkstra(own, s)
+            order, paths, gain = sorted(dist, key=dist.get), defaultdict(float, {s: 1.0}), defaultdict(float)
+            back = {v: [(u, i) for u, w, i in adj[v] if u in dist and dist[u] + w == dist[v]] for v in order}
+            for v in order:
+                paths[v] += sum(paths[u] for u, _ in back[v])
+            for v in reversed(order):
+                for u, i in back[v]:
+                    part = paths[u] / paths[v] * (1 + gain[v])
+                    gain[u] += part
+                    want.setdefault((k, i), []).append((s, part / 2))
+    edges = spark.createDataFrame(rows, "k string, " + EDGE)
+    for some, batches in ((None, None), ({1, 12, 20, 39, 50, 92}, 3)):
+        sources = None if some is None else spark.createDataFrame([(k, v) for k in "ab" for v in some], "k string, vid int")
+        got = {(r.k, r.id): r.bwness for r in routing.edge_betweenness(edges, ["k"], sources, batches).collect()}
+        assert got == pytest.approx({(k, e): sum(x for s, x in want.get((k, e), ()) if some is None or s in some) for k, e, *_ in rows})
+    assert searches[0] < 30  # origins: two rings of 8 nodes and at most 9 more, of 121 nodes
