@@ -301,7 +301,7 @@ def test_many_arcs_stay_where_they_are(spark, monkeypatch):
 
 
 def test_betweenness_with_dead_ends_folded(spark, monkeypatch):
-    """Folded trees, parallel links, pairs alone with each other and limited origins count as if every pair were walked; one search, over what is left."""
+    """Folded trees, parallel links, pairs alone with each other and limited origins count as if every pair were walked, searched or, in small parts, worked out in a task."""
     searches, search = [], routing.bands.search
     monkeypatch.setattr(routing.bands, "search", lambda *a, **k: searches.append(a[0].count()) or search(*a, **k))
     monkeypatch.setattr(routing, "FOLD_LINKS", 0)
@@ -326,8 +326,9 @@ def test_betweenness_with_dead_ends_folded(spark, monkeypatch):
                     gain[u] += part
                     want.setdefault((k, i), []).append((s, part / 2))
     edges = spark.createDataFrame(rows, "k string, " + EDGE)
-    for some, batches in ((None, None), ({1, 12, 20, 39, 50, 92}, 3)):
+    for some, batches, small in ((None, None, 0), ({1, 12, 20, 39, 50, 92}, 3, 0), (None, None, 8), ({1, 12, 20, 39, 50, 92}, None, 100)):
+        monkeypatch.setattr(routing, "SMALL", small)
         sources = None if some is None else spark.createDataFrame([(k, v) for k in "ab" for v in some], "k string, vid int")
         got = {(r.k, r.id): r.bwness for r in routing.edge_betweenness(edges, ["k"], sources, batches).collect()}
         assert got == pytest.approx({(k, e): sum(x for s, x in want.get((k, e), ()) if some is None or s in some) for k, e, *_ in rows})
-    assert searches[0] < 30  # origins: two rings of 8 nodes and at most 9 more, of 121 nodes
+    assert searches[0] < 30 and len(searches) <= 1 + 3 + 1  # origins: two rings of 8 nodes and at most 9 more, of 121 nodes
