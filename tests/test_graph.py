@@ -332,3 +332,15 @@ def test_betweenness_with_dead_ends_folded(spark, monkeypatch):
         got = {(r.k, r.id): r.bwness for r in routing.edge_betweenness(edges, ["k"], sources, batches).collect()}
         assert got == pytest.approx({(k, e): sum(x for s, x in want.get((k, e), ()) if some is None or s in some) for k, e, *_ in rows})
     assert searches[0] < 30 and len(searches) <= 1 + 3 + 1  # origins: two rings of 8 nodes and at most 9 more, of 121 nodes
+
+
+def test_trips_are_searched_in_components_that_hold_a_pair(spark, monkeypatch):
+    """Links elsewhere are kept with no trips, but not laid out."""
+    laid, shortcuts = [], routing.shortcuts
+    monkeypatch.setattr(routing, "shortcuts", lambda arcs, *a, **k: laid.append(arcs.count()) or shortcuts(arcs, *a, **k))
+    edges = spark.createDataFrame([(i, i, i + 1, 5) for i in range(40) if i % 4 < 3] + [(90, 8, 9, 7), (91, 60, 60, 1)], EDGE)
+    pairs = spark.createDataFrame([(8, 11, 3), (10, 10, 2), (21, 20, 1)], "vid_o int, vid_d int, n_ods bigint")
+    got = lambda **k: sorted(map(tuple, routing.edge_trips(pairs, edges, **k).select("id", "n_trips").collect()))
+    want = {8: 3, 9: 3, 10: 3, 20: 1}
+    assert got(nodes=connected_components(edges)) == got() == sorted((i, want.get(i, 0)) for i in [*(i for i in range(40) if i % 4 < 3), 90, 91])
+    assert laid == [2 * 7, 2 * 31]
